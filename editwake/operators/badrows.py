@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from editwake import session
+
 #: 2001-01-01 and 2036-01-01 UTC.
 FIRST_SECOND, END_SECOND = 978_307_200, 2_082_758_400
 RECORD_FIELDS = [
@@ -210,6 +212,7 @@ def parsed(lines: DataFrame, file: str = "file", line_no: str = "line_no", text:
                     {"file": names, "line_no": numbers, "reason": reasons, "event": events, "record": records}, schema=schema
                 )
 
+    session.ship(lines.sparkSession)
     chosen = lines.select(F.col(file).alias("file"), F.col(line_no).cast("bigint").alias("line_no"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, f"file string, line_no bigint, reason string, event struct<{_colons(EVENT)}>, record struct<{_colons(RECORD)}>")
 

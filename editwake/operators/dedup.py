@@ -110,6 +110,7 @@ class SeenStore:
         Copies within the batch are combined per identifier before the shuffle, so an identifier that fills a third of the
         batch puts one row per map task into its shard.
         """
+        session.ship(self.spark)
         firsts = batch.groupBy("id").agg(F.min("arrival").alias("arrival"))
         rows = firsts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int")).select("shard", "id", "arrival")
         out = rows.groupBy("shard").cogroup(self.state().groupBy("shard")).applyInArrow(

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from editwake import session
 from editwake.functions.columns import free_name
 
 SHARE = 0.05
@@ -40,6 +41,7 @@ def frequent_sketch(df: DataFrame, key: str, room: int) -> DataFrame:
             [pa.array([str(k) for k in counts], kind), pa.array(list(counts.values()), pa.int64())], names=["key_value", "low"]
         )
 
+    session.ship(df.sparkSession)
     return df.select(F.col(key).cast("string")).mapInArrow(run, "key_value string, low bigint")
 
 
