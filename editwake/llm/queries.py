@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from editwake.llm import mixing, packing, quantiles, tokens, topk
+from editwake.llm import leftovers, mixing, packing, quantiles, tokens, topk
 
 PERCENTS = [5, 25, 50, 75, 95, 99]
 GROUPS = ["leader_wiki", "follower_wiki", "rank"]
@@ -84,8 +84,26 @@ def p9_shares(spark, d):
     return mixing.shares(p9_mixed(spark, d), _table(spark, d, "mix_targets"))
 
 
+def _judged(spark, d):
+    return leftovers.judged(_table(spark, d, "documents").select("doc_id", "wiki", "text"))
+
+
+def p10_found(spark, d):
+    return _judged(spark, d).where("leftover").select("doc_id")
+
+
+def p10_kinds(spark, d):
+    """Documents per kind of leftover; a document with several kinds counts for each."""
+    return _judged(spark, d).where("leftover").select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p10_kept(spark, d):
+    return leftovers.without_leftovers(_table(spark, d, "documents").select("doc_id", "wiki", "source", "lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     p3_percentiles, p3_daily, p3_combined, p3_within_one_percent, p7_found, p7_top_titles, p7_top_items, p8_packed, p8_fill, p9_mixed, p9_shares,
+    p10_found, p10_kinds, p10_kept,
 )}
 
 
