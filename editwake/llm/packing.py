@@ -105,6 +105,7 @@ def pack(items: DataFrame, capacities: DataFrame, item: str = "doc_id", size: st
         F.col(item).cast("bigint").alias("item"), F.col(size).cast("bigint").alias("tokens"), F.col(cluster).cast("bigint").alias("cluster"),
         F.col(source).cast("string").alias("source"),
     )
+    kept = session.stage(kept, "pack")  # read twice, measured once
     blocks = max(1, -(-kept.count() // BLOCK_ITEMS))
     cut = pieces(kept.crossJoin(F.broadcast(table)), "capacity_tokens", "tokens")  # the fixed list of capacities
     block = F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)).cast("int")
