@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editwake.functions.columns import bucket, free_name
-from editwake.operators.progress import running_extreme
+from editwake.operators.progress import running
 
 LATENESS = 21_600
 PERIOD = 3_600
@@ -19,7 +19,7 @@ def with_lateness(df: DataFrame, time: str = "ts", order: str = "seq", lateness:
     A row without a time or an arrival number has late = NULL: it can neither count in a period nor be measured against
     the clock. An empty table gives an empty table. The first rows have no clock and are in time.
     """
-    out = running_extreme(df, order, time, "clock")
+    out = running(df, order, time, "clock")
     if clock_from is not None:
         out = out.withColumn("clock", F.greatest("clock", F.lit(clock_from).cast("bigint")))
     known = F.col(time).isNotNull() & F.col(order).isNotNull()

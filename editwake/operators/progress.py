@@ -11,18 +11,16 @@ BLOCK = 1 << 16
 SUPER = 1 << 12
 
 
-def running_extreme(
-    df: DataFrame, order: str, value: str, out: str, greatest: bool = True, inclusive: bool = False, block: int = BLOCK
-) -> DataFrame:
-    """Adds out: the greatest (or least) value among all rows with a smaller order, or an equal one if inclusive.
+def running(df: DataFrame, order: str, value: str, out: str, how: str = "max", inclusive: bool = False, block: int = BLOCK) -> DataFrame:
+    """Adds out: max, min or sum (how) of value over all rows with a smaller order, or an equal one if inclusive.
 
-    Rows go to blocks of `block` consecutive order numbers. A block's extreme comes from a partial aggregate; prefixes run
+    Rows go to blocks of `block` consecutive order numbers. A block's figure comes from a partial aggregate; prefixes run
     over blocks within groups of 4096 blocks, then over those groups, so only 1 in 2**28 order numbers meets in one task.
     Within its block a row looks at the rows before it. Ties in order see neither each other nor themselves unless
     inclusive. NULL values are passed over; rows whose order is NULL take no part and get NULL. Nothing before: NULL.
     """
-    pick = F.max if greatest else F.min
-    meet = F.greatest if greatest else F.least
+    pick = {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    meet = {"max": F.greatest, "min": F.least, "sum": _plus}[how]
     blk, sup, own, before = (free_name(df, n) for n in ("block", "super", "own", "before"))
     known = df.where(F.col(order).isNotNull()).withColumn(blk, bucket(F.col(order), block))
     blocks = known.groupBy(blk).agg(pick(value).alias(own)).withColumn(sup, bucket(F.col(blk), SUPER))
@@ -33,6 +31,27 @@ def running_extreme(
     frame = Window.partitionBy(blk).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     joined = known.join(prefix, blk, "left").withColumn(out, meet(F.col(before), pick(value).over(frame)))
     keep: list[Column] = [F.col(f"`{c}`") for c in df.columns] + [F.col(out)]
-    unknown = df.where(F.col(order).isNull()).withColumn(out, F.lit(None).cast(df.schema[value].dataType))
     result = joined.select(*keep)
-    return result.unionByName(unknown.select(*keep)) if df.schema[order].nullable else result
+    if not df.schema[order].nullable:
+        return result
+    unknown = df.where(F.col(order).isNull()).withColumn(out, F.lit(None).cast(result.schema[out].dataType))
+    return result.unionByName(unknown.select(*keep))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+def next_at_or_after(points: DataFrame, point: str, probes: DataFrame, probe: str, out: str) -> DataFrame:
+    """probes (distinct values of one column) with out: the least point at or after the probe, NULL where there is none.
+
+    Both are cut into the same blocks of values as in running(), from the top down; nothing is joined by range.
+    """
+    both = points.select((-F.col(point)).alias("_ew_at"), F.col(point).alias("_ew_point")).unionByName(
+        probes.select((-F.col(probe)).alias("_ew_at"), F.lit(None).cast("bigint").alias("_ew_point"))
+    )
+    return (
+        running(both, "_ew_at", "_ew_point", out, "min", inclusive=True)
+        .where("_ew_point is null and _ew_at is not null")
+        .select((-F.col("_ew_at")).alias(probe), out)
+    )

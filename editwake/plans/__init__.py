@@ -1 +1 @@
-"""Plans."""
+"""Queries and the SQL they are held against."""

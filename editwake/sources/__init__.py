@@ -1 +1 @@
-"""Sources."""
+"""Where rows come from."""
