@@ -35,25 +35,25 @@ def frames(lines: Iterable[str]) -> Iterator[tuple[str | None, str, str]]:
                 kind = value
 
 
-def frames_of(lines: DataFrame, order: str = "line_no", text: str = "line") -> DataFrame:
-    """The same from a table of the lines of one connection: (id, event, data), a row per block.
+def frames_of(lines: DataFrame, connection: list[str], order: str = "line_no", text: str = "line") -> DataFrame:
+    """The same from a table of lines: (connection, block, id, event, data), a row per block that ends and has data.
 
-    Lines of a connection have one order, so blocks are numbered over it; meant for captured samples of a feed.
+    Each connection is read in its own order, which a window runs over as a stream; only a block's lines are held.
     """
-    over = Window.orderBy(order)
+    over = Window.partitionBy(*connection).orderBy(order)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     value = F.regexp_replace(F.regexp_extract(text, r"^[^:]*:(.*)$", 1), "^ ", "")
     name = F.regexp_extract(text, "^([^:]*)", 1)
     marked = lines.select(
-        order, (F.col(text) == "").cast("int").alias("blank"), name.alias("name"), value.alias("value"), F.coalesce(F.sum((F.col(text) == "").cast("int")).over(before), F.lit(0)).alias("block"),
+        *connection, order, (F.col(text) == "").cast("int").alias("blank"), name.alias("name"), value.alias("value"), F.coalesce(F.sum((F.col(text) == "").cast("int")).over(before), F.lit(0)).alias("block"),
         F.last(F.when(name == "id", value), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("id"),
     )
     pairs = F.sort_array(F.collect_list(F.when(F.col("name") == "data", F.struct(order, "value"))))
-    blocks = marked.groupBy("block").agg(
+    blocks = marked.groupBy(*connection, "block").agg(
         F.max("blank").alias("ended"), F.max(F.struct(order, "id")).alias("last"), F.max(F.when(F.col("name") == "event", F.struct(order, "value"))).alias("kind"), pairs.alias("data")
     )
     return blocks.where((F.col("ended") == 1) & (F.size("data") > 0)).select(
-        "block", F.col("last.id").alias("id"), F.coalesce("kind.value", F.lit("message")).alias("event"), F.array_join(F.transform("data", lambda d: d["value"]), "\n").alias("data")
+        *connection, "block", F.col("last.id").alias("id"), F.coalesce("kind.value", F.lit("message")).alias("event"), F.array_join(F.transform("data", lambda d: d["value"]), "\n").alias("data")
     )
 
 
