@@ -131,7 +131,7 @@ def _bare_faults(text: str) -> bool:
 def parse_csv(text: str) -> list[str]:
     """The fields of exactly one RFC 4180 record, or Fault. One line end after the record is allowed."""
     body = text[:-2] if text.endswith("\r\n") else text[:-1] if text.endswith("\n") else text
-    if ('"' in body or "\r" in body or "\n" in body) and not quotes_open(body) and _bare_faults(body):
+    if any(c in body for c in "\"\r\n") and _bare_faults(body):
         raise Fault("csv: quote or line break in an unquoted field")
     try:
         rows = list(csv.reader(io.StringIO(body, newline=""), strict=True))

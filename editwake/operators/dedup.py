@@ -96,13 +96,17 @@ class SeenStore:
         said = (session.read_text(spark, f"{self.path}/CURRENT") or f"0 {shards}").split()
         self.version, self.shards = int(said[0]), int(said[1])
 
+    def _part(self, version: int, kind: str, schema: str) -> DataFrame:
+        path = f"{self.path}/v{version}/kind={kind}"  # not there where a batch had no row
+        if not version or not session.exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
     def state(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], _STATE)
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/kind=state").select("shard", "ids", "seen")
+        return self._part(self.version, "state", _STATE)
 
     def kept(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema("arrival bigint").parquet(f"{self.path}/v{version or self.version}/kind=kept")
+        return self._part(version or self.version, "kept", "arrival bigint")
 
     def take(self, batch: DataFrame) -> int:
         """Takes a batch (id BINARY, arrival BIGINT), no NULL in it; returns the new version, whose kept() are its first arrivals.
