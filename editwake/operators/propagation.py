@@ -137,9 +137,24 @@ def propagation_cells(edits: DataFrame, p: Propagation = DEFAULT.propagation, in
     """
     used = with_item(edits)
     ordered = in_time_order(used) if in_order else processing_order(used, p.reorder)
-    start = used.agg((F.min("ts") + p.warmup).alias("warm_until"))
-    warm = cells(assign(ordered, p)).crossJoin(F.broadcast(start))  # one row
-    return session.stage(warm.withColumn("in_warmup", F.col("opened_at") < F.col("warm_until")).drop("warm_until"), "cells")
+    found = cells(assign(ordered, p))
+    if in_order:
+        start = used.agg(F.min("ts").alias("start"))
+        warm = found.crossJoin(F.broadcast(start))  # one row
+    else:
+        found = session.stage(found, "cells-found")
+        warm = found.join(_start_known(ordered, found), "window")
+    return session.stage(warm.withColumn("in_warmup", F.col("opened_at") < F.col("start") + p.warmup).drop("start"), "cells")
+
+
+def _start_known(ordered: DataFrame, found: DataFrame) -> DataFrame:
+    """(window, start): the earliest time that had arrived when a window was opened."""
+    lows = running(ordered.select("seq", "ts"), "seq", "ts", "low", "min").where("low is null or ts < low")
+    openers = found.select("window").distinct().join(ordered.select(F.col("seq").alias("window"), "released"), "window")
+    both = lows.select(F.col("seq").alias("at"), F.col("ts").alias("low"), F.lit(None).cast("bigint").alias("window")).unionByName(
+        openers.select(F.col("released").alias("at"), F.lit(None).cast("bigint").alias("low"), "window")
+    )
+    return running(both, "at", "low", "start", "min", inclusive=True).where("window is not null").select("window", "start")
 
 
 def arrivals(cell: DataFrame) -> DataFrame:
