@@ -104,7 +104,7 @@ def select_percentiles(parts: DataFrame, groups: list[str], percents: list[float
                 F.when(left, F.col("rank")).when(found, F.lit(0)).otherwise(F.col("rank") - F.col("below") - F.col("at")).alias("rank"),
                 F.when(left, F.col("v_below")).when(found, F.lit(0)).otherwise(F.col("v_above")).alias("values"),
                 F.when(left, F.col("low")).otherwise(F.col("pivot")).alias("low"),
-                F.when(left, F.col("high")).when(found, F.col("pivot")).otherwise(F.col("high")).alias("high"),
+                F.when(left | found, F.col("pivot")).otherwise(F.col("high")).alias("high"),
                 (F.col("rounds") + 1).alias("rounds"),
             ),
             "multiselect-state",
