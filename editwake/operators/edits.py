@@ -18,15 +18,15 @@ def decoded(lines: DataFrame, text: str = "text") -> DataFrame:
     a repeated key is refused.
     """
 
-    def whole(line: Column) -> Column:
-        # The parser stops after one value; a mark behind it shows that nothing else followed.
-        both = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f', "{_END}"]')))
-        alone = F.try_variant_get(both, "$[1]", "string") == _END
-        return F.when(F.coalesce(alone, F.lit(False)), F.try_variant_get(both, "$[0]", "variant"))
-
-    text_col = F.col(text)
-    mended = F.when(text_col.rlike("NaN|Infinity"), whole(F.regexp_replace(text_col, _BARE, "$1null")))
-    return lines.withColumn("v", F.coalesce(whole(text_col), mended))
+    # The parser stops after one value; a mark behind it shows that nothing else followed. explode() of one value keeps
+    # the optimizer from parsing the line again for every field taken from it.
+    line = F.col(text)
+    marked = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit(f', "{_END}"]')))
+    mended = F.when(line.rlike("NaN|Infinity"), marked(F.regexp_replace(line, _BARE, "$1null")))
+    once = lines.withColumn("_ew_both", F.explode(F.array(F.coalesce(marked(line), mended))))
+    alone = F.try_variant_get("_ew_both", "$[1]", "string") == _END
+    value = F.when(F.coalesce(alone, F.lit(False)), F.try_variant_get("_ew_both", "$[0]", "variant"))
+    return once.withColumn("v", F.explode(F.array(value))).drop("_ew_both")
 
 
 def _path(path: str, kind: str = "variant") -> Column:

@@ -286,7 +286,8 @@ def _nearest(keys: str, source: str, value: str = "lag_seconds") -> str:
     return f"select {keys}, count({value}) as n, {at(0.5)} as median_seconds, {at(0.95)} as p95_seconds from {source} where {value} is not null group by {keys}"
 
 
-_JSON = """with j as (select file, line_no, member, damaged, text, case when json_valid(text) then text::json end as j from raw_lines where file like '%.jsonl.gz'),
+_JSON = r"""with j as (select file, line_no, member, damaged, text, case when json_valid(text)
+ and not regexp_matches(regexp_replace(text, '"(\\.|[^"\\])*"', '""', 'g'), ',\s*[}\]]') then text::json end as j from raw_lines where file like '%.jsonl.gz'),
 x as (select *, json_type(j, '$.timestamp') as tt, trim(j->>'$.timestamp') as tx, json_type(j, '$.bot') as bt, json_type(j, '$.revision') as rt from j where j is not null),
 t as (select *, case when tt = 'VARCHAR' then case when regexp_full_match(tx, '[+-]?[0-9]+(_[0-9]+)*') then try_cast(replace(tx, '_', '') as bigint) end
  when tt = 'BOOLEAN' then (tx = 'true')::bigint when tt in ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') then try_cast(trunc(try_cast(tx as double)) as bigint) end as ts,
