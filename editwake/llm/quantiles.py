@@ -29,13 +29,27 @@ def summary(df: DataFrame, groups: list[str], value: str, part: str | None = Non
     return kept.groupBy(*groups, "_ew_part", "_ew_v").agg(F.count(F.lit(1)).alias("_ew_n"))
 
 
+def _rank(percent: float) -> Column:
+    """The rank sought: the least r with r / n >= percent / 100, at least 1."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n") * round(percent * 1000) / 100_000)).cast("bigint")
+
+
 def _targets(groups: list[str], totals: DataFrame, percents: list[float]) -> DataFrame:
-    """One row per group and percentile, with the rank sought: the least r with r / n >= p / 100, at least 1."""
-    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * round(p * 1000) / 100_000)).cast("bigint")
-    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), rank(p).alias("rank")) for p in percents])).alias("t")
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), _rank(p).alias("rank")) for p in percents])).alias("t")
     return totals.select(*groups, "n", "values", each).select(*groups, "n", "values", "t.percent", "t.rank")
 
 
+def _few_values(data: DataFrame, groups: list[str], totals: DataFrame, percents: list[float]) -> DataFrame:
+    """All percentiles of groups with few distinct values, in one sorted pass without a row per percentile."""
+    on, sizes = _match(groups, data, _small(totals))
+    per = data.join(sizes, on).groupBy(*groups, "_ew_v").agg(F.sum("_ew_n").alias("_ew_n"), F.first("n").alias("n"))
+    order = Window.partitionBy(*groups).orderBy("_ew_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = per.withColumn("upto", F.sum("_ew_n").over(order))
+    found = ranked.groupBy(*groups).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") >= _rank(p), F.col("_ew_v"))).alias(f"_ew_p{i}") for i, p in enumerate(percents)])
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.col(f"_ew_p{i}").alias("value")) for i, p in enumerate(percents)])).alias("t")
+    return found.select(*groups, "n", each).select(*groups, "t.percent", "t.value", "n", F.lit(0).alias("rounds"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Marked for broadcast only where it was counted and is small; else the ordinary join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -66,18 +80,20 @@ def select_percentiles(parts: DataFrame, groups: list[str], percents: list[float
     merged = merged.withColumn("_ew_block", F.pmod(F.xxhash64("_ew_v", "_ew_part"), F.lit(blocks)).cast("int"))
     data = session.stage(merged, "multiselect")
     kind = data.schema["_ew_v"].dataType.simpleString()
-    totals = data.groupBy(*groups).agg(F.sum("_ew_n").alias("n"), F.count(F.lit(1)).alias("values"))
-    state = _targets(groups, totals, percents)
+    totals = session.stage(data.groupBy(*groups).agg(F.sum("_ew_n").alias("n"), F.count(F.lit(1)).alias("values")), "multiselect-sizes")
+    simple = _few_values(data, groups, totals.where(F.col("values") <= gather), percents)
+    state = _targets(groups, totals.where(F.col("values") > gather), percents)
     state = session.stage(
         state.select(*groups, "percent", "n", "rank", "values", F.lit(None).cast(kind).alias("low"), F.lit(None).cast(kind).alias("high"), F.lit(0).alias("rounds")),
         "multiselect-state",
     )
-    done, active = [], state
+    done, active, rounds = [], state, 0
     while True:
         wide = active.where(F.col("values") > gather)
         done.append(active.where(F.col("values") <= gather))
         if wide.isEmpty():
             break
+        rounds += 1
         on, ranges = _match(groups, data, _small(wide))
         inside = (F.col("low").isNull() | (F.col("_ew_v") > F.col("low"))) & (F.col("high").isNull() | (F.col("_ew_v") < F.col("high")))
         live = data.join(ranges, on & inside).select(*groups, "percent", "_ew_v", "_ew_n", "_ew_part", "_ew_block", "rank", "low", "high", "n", "rounds")
@@ -109,6 +125,8 @@ def select_percentiles(parts: DataFrame, groups: list[str], percents: list[float
             ),
             "multiselect-state",
         )
+    if not rounds:
+        return simple.select(*[F.col(x).alias(g) for g, x in zip(named, groups, strict=True)], "percent", "value", "n", "rounds")
     ends = done[0]
     for d in done[1:]:
         ends = ends.unionByName(d)
@@ -123,7 +141,7 @@ def select_percentiles(parts: DataFrame, groups: list[str], percents: list[float
     settled = few.withColumn("upto", F.sum("_ew_n").over(order)).where("upto >= rank").groupBy(*groups, "percent").agg(
         F.min("_ew_v").alias("value"), F.first("n").alias("n"), F.first("rounds").alias("rounds")
     )
-    result = settled.unionByName(hit)
+    result = simple.unionByName(settled).unionByName(hit)
     return result.select(*[F.col(x).alias(g) for g, x in zip(named, groups, strict=True)], "percent", "value", "n", "rounds")
 
 
