@@ -54,6 +54,6 @@ def uuid_key(identifier: Column) -> Column:
     """
     text = F.regexp_replace(identifier, r"^\s+|\s+$", "")
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"^(urn:uuid:)?\{?|\}$", ""), "-", "")
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.unhex(bare)).when(
-        F.length(text) > 0, F.concat(F.unhex(F.lit("00" * 17)), F.encode(text, "utf-8"))
-    )
+    plain = F.replace(identifier, F.lit("-"), F.lit(""))  # the usual form, without a pattern; anything but hex digits gives NULL
+    other = F.when(bare.rlike("^[0-9a-f]{32}$"), F.unhex(bare)).when(F.length(text) > 0, F.concat(F.unhex(F.lit("00" * 17)), F.encode(text, "utf-8")))
+    return F.coalesce(F.when(F.length(plain) == 32, F.unhex(plain)), other)

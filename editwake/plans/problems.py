@@ -36,7 +36,7 @@ def p2_found(spark, d):
 
 
 def p2_kept(spark, d):
-    return dedup.deduplicated(table(spark, d, "edits").drop("stream_dt"))
+    return dedup.deduplicated(table(spark, d, "edits"))
 
 
 def p4_found(spark, d):
@@ -111,7 +111,7 @@ count(*) as edits from l where not late group by 1, 2""",
     "p1_late_report": f"""{CLOCKED} select wiki, ts - ts % 3600 as period_start, count(*) as too_late, 0::bigint as unplaced,
 max(clock - ts) as most_seconds_late from l where late group by 1, 2""",
     "p2_found": f"select seq from (select seq, row_number() over (partition by {ID} order by seq) as k from edits) where k > 1",
-    "p2_kept": f"select * exclude (k, stream_dt) from (select *, row_number() over (partition by {ID} order by seq) as k from edits) where k = 1",
+    "p2_kept": f"select * exclude (k) from (select *, row_number() over (partition by {ID} order by seq) as k from edits) where k = 1",
     "p4_found": f"{SESSIONS} select qid, session_start, session_end from r",
     "p4_sessions": f"{SESSIONS} select * from r",
     "p5_found": """select 'wiki' as field, wiki as key_value from edits group by wiki having count(*) >= 0.05 * (select count(*) from edits)

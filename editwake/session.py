@@ -77,13 +77,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in path; none where it isn't there."""
+    fs, hpath, _ = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(hpath)] if fs.exists(hpath) else []
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
-    """One atomic step on HDFS and local disks; replaces an existing target file."""
+    """One atomic step on HDFS and local disks. Nothing is replaced: an existing target is an error."""
     fs, hpath, path_of = _fs(spark, source)
     target_path = path_of(target)
-    if fs.exists(target_path):
-        fs.delete(target_path, True)
-    if not fs.rename(hpath, target_path):
+    if fs.exists(target_path) or not fs.rename(hpath, target_path):
         raise OSError(f"could not rename {source} to {target}")
 
 
@@ -97,9 +101,41 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    if not exists(spark, path):
+    fs, hpath, _ = _fs(spark, path)
+    if not fs.exists(hpath):
         return None
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    stream = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+_MARK = "CURRENT-"
+
+
+def publish(spark: SparkSession, folder: str, number: int, text: str) -> None:
+    """Makes version `number` of a folder valid: its mark is written aside and appears under its name by one rename.
+
+    A mark is never replaced and no valid mark is taken away before a later one is there, so a program that dies at any
+    point leaves the last valid version readable. Two writers of the same number: the second one fails.
+    """
+    aside = f"{folder}/.mark-{uuid.uuid4().hex}"
+    write_text(spark, aside, text)
+    try:
+        rename(spark, aside, f"{folder}/{_MARK}{number:012d}")
+    except OSError:
+        remove(spark, aside)
+        raise
+    for name in listing(spark, folder):
+        if name.startswith(_MARK) and int(name[len(_MARK) :]) < number - 1:
+            remove(spark, f"{folder}/{name}")
+
+
+def published(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """The highest valid version of a folder with its text."""
+    marks = sorted((x for x in listing(spark, folder) if x.startswith(_MARK)), reverse=True)
+    return (int(marks[0][len(_MARK) :]), read_text(spark, f"{folder}/{marks[0]}") or "") if marks else None
 
 
 _made: dict[str, SparkSession] = {}

@@ -12,8 +12,8 @@ from editwake.operators.dedup import SeenStore
 class FirstDeliveries:
     """foreachBatch target that appends each batch's first deliveries to <path>/rows/batch=<n>.
 
-    The store's version is the number of batches taken; a batch delivered again is written again from the version it made
-    and not taken twice. Unlike a fixed window of recent identifiers it forgets nothing.
+    The store's steps are the batches taken; a batch delivered again is written again from the result of its step and not
+    taken twice. Results of the last two steps are kept. Unlike a fixed window of recent identifiers it forgets nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64, identifier: str = "event_id", order: str = "seq") -> None:
@@ -23,8 +23,10 @@ class FirstDeliveries:
     def __call__(self, rows: DataFrame, batch: int) -> None:
         keyed = rows.withColumn("_ew_id", uuid_key(F.col(self.identifier)))
         named = keyed.where(F.col("_ew_id").isNotNull() & F.col(self.order).isNotNull())
-        version = batch + 1 if self.store.version > batch else self.store.take(named.select(F.col("_ew_id").alias("id"), F.col(self.order).cast("bigint").alias("arrival")))
-        first = self.store.kept(version).withColumnRenamed("arrival", self.order)
+        step = batch + 1
+        if self.store.steps < step:
+            self.store.take(named.select(F.col("_ew_id").alias("id"), F.col(self.order).cast("bigint").alias("arrival")), keep_results=2)
+        first = self.store.kept(step).withColumnRenamed("arrival", self.order)
         kept = named.join(first, self.order, "left_semi").unionByName(keyed.where(F.col("_ew_id").isNull() | F.col(self.order).isNull()))
         kept.drop("_ew_id").write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
 

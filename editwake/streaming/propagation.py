@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from editwake import session
 from editwake.config import DEFAULT, Propagation
 from editwake.operators import propagation as G
 from editwake.operators.progress import next_at_or_after
@@ -16,12 +17,15 @@ _CELL = (
     "qid string, window bigint, opened_at bigint, wiki string, first struct<released:bigint,ts:bigint,seq:bigint,title:string,user_name:string>, "
     "human_edits bigint, bot_edits bigint, late_human_edits bigint"
 )
+_CELLS = ["qid", "window", "opened_at", "wiki", "first", "human_edits", "bot_edits", "late_human_edits"]
 _CLOSED = "qid string, window bigint, closed_at bigint"
 
 
 class PropagationStream:
-    """foreachBatch target. State: each item's last window, the cells of all windows, and when they closed.
+    """foreachBatch target. State: each item's last window, the cells of the windows not yet forgotten, and when they closed.
 
+    A window is forgotten once the clock is `horizon` past its closing: an edit of its item opens a new one then, so its
+    cells are final. They are appended to <path>/finished, per batch, and leave the state.
     A batch's rows come after all earlier ones in order of (ts, seq), which a reordering source ahead of it guarantees; an
     edit older than the clock is refused rather than counted wrongly. The clock values of a batch close the windows that
     were open before it; then each touched item's fold goes on from its last window.
@@ -29,11 +33,15 @@ class PropagationStream:
 
     def __init__(self, spark: SparkSession, path: str, p: Propagation = DEFAULT.propagation) -> None:
         self.spark, self.p = spark, p
-        self.state = VersionedState(spark, path)
+        self.path = path.rstrip("/")
+        self.state = VersionedState(spark, f"{self.path}/state")
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        if self.state.has(batch):
-            return
+        if not self.state.has(batch):
+            self._take(rows, batch)
+        self.state.append(batch, {"finished": f"{self.path}/finished"})
+
+    def _take(self, rows: DataFrame, batch: int) -> None:
         p, ordered = self.p, G.in_time_order(G.with_item(rows))
         clock_before = self.state.meta.get("clock")
         low, high = ordered.agg(F.min("ts"), F.max("ts")).first()
@@ -72,11 +80,19 @@ class PropagationStream:
         now_last = openers.select("qid", F.element_at("openers", -1).alias("w")).select("qid", "w.*")
         start = self.state.meta.get("start")
         start = low if start is None else min(x for x in (start, low if low is not None else start))
-        tables = {"last": now_last.select("qid", "at", "upto", "bound", "closed_at"), "cells": cells.select("qid", "window", "opened_at", "wiki", "first", "human_edits", "bot_edits", "late_human_edits"), "closed": closed}
-        self.state.commit(batch, tables, clock=high if high is not None else clock_before, start=start)
+        clock_now = high if high is not None else clock_before
+        forgotten = F.coalesce(F.col("closed_at") + p.horizon <= F.lit(clock_now), F.lit(False))
+        all_cells = session.stage(cells.join(closed, ["qid", "window"], "left"), "stream-cells")
+        tables = {
+            "last": now_last.where(~forgotten).select("qid", "at", "upto", "bound", "closed_at"), "closed": closed.where(~forgotten),
+            "cells": all_cells.where(~forgotten).select(*_CELLS), "finished": all_cells.where(forgotten).select(*_CELLS, "closed_at"),
+        }
+        self.state.commit(batch, tables, clock=clock_now, start=start)
 
     def cells(self) -> DataFrame:
         """Cells as the batch operator gives them, for records(), windows(), statistics() and the rest."""
         warm = self.state.meta["start"] + self.p.warmup
         closed = self.state.table("closed", _CLOSED)
-        return self.state.table("cells", _CELL).join(closed, ["qid", "window"], "left").withColumn("in_warmup", F.col("opened_at") < F.lit(warm))
+        still = self.state.table("cells", _CELL).join(closed, ["qid", "window"], "left").select(*_CELLS, "closed_at")
+        done = self.spark.read.parquet(f"{self.path}/finished").select(*_CELLS, "closed_at")
+        return still.unionByName(done).withColumn("in_warmup", F.col("opened_at") < F.lit(warm))

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from editwake import session
 from editwake.operators import dedup, sessions
 from editwake.session import scratch
 from hypothesis import given, settings
@@ -46,20 +48,77 @@ def test_hot_identifier_over_many_steps(spark):
         assert {r.seq for r in dedup.first_arrivals(df, batches=steps).collect()} == set(first.values())
 
 
+def _batch(spark):
+    return lambda *x: spark.createDataFrame([(bytes(k, "ascii"), a) for k, a in x], "id binary, arrival bigint")
+
+
 def test_store_survives_and_counts_each_identifier_once(spark):
-    path = scratch(spark, "store")
-    batch = lambda *x: spark.createDataFrame([(bytes(k, "ascii"), a) for k, a in x], "id binary, arrival bigint")
+    path, batch = scratch(spark, "store"), _batch(spark)
     store = dedup.SeenStore(spark, path, 3)
     store.take(batch(("a", 1), ("b", 2), ("a", 3)))
     again = dedup.SeenStore(spark, path, 99)
-    assert (again.version, again.shards) == (1, 3)
+    assert (again.steps, again.shards) == (1, 3)
     again.take(batch(("a", 4), ("c", 5), ("b", 6)))
     assert [r.arrival for r in again.kept().collect()] == [5]
     assert sorted(r.arrival for r in again.kept(1).collect()) == [1, 2]
-    (spark.read.parquet(f"{path}/v2").write.parquet(f"{path}/v3"))  # a batch that died before CURRENT was replaced
-    third = dedup.SeenStore(spark, path, 3)
-    third.take(batch(("c", 7), ("d", 8)))
-    assert [r.arrival for r in third.kept().collect()] == [8]
+    assert sorted((bytes(r.id), r.arrival) for r in again.repeated().collect()) == [(b"a", None), (b"b", None)]
+    assert [(bytes(r.id), r.arrival, r.n) for r in again.repeated(1).collect()] == [(b"a", 1, 2)]
+
+
+@pytest.mark.parametrize("mark", [1, 2])
+def test_store_killed_before_either_mark_loses_nothing(spark, monkeypatch, mark):
+    path, batch = scratch(spark, "store"), _batch(spark)
+    dedup.SeenStore(spark, path, 2).take(batch(("a", 1), ("b", 2)))
+    real, calls = session.rename, []
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) == mark:
+            raise KeyboardInterrupt
+        real(*args)
+
+    monkeypatch.setattr(session, "rename", dies)
+    with pytest.raises(KeyboardInterrupt):
+        dedup.SeenStore(spark, path, 2).take(batch(("b", 3), ("c", 4)))
+    monkeypatch.setattr(session, "rename", real)
+    after = dedup.SeenStore(spark, path, 2)
+    known = {(bytes(r.id), r.seen) for r in after.identifiers().collect()}
+    # Between the marks c is known and not seen: the bit says more than the dictionary.
+    assert known == {(b"a", True), (b"b", True)} | ({(b"c", False)} if mark == 2 else set())
+    after.take(batch(("b", 3), ("c", 4)))
+    assert [r.arrival for r in after.kept().collect()] == [4]
+    assert {(bytes(r.id), r.seen) for r in after.identifiers().collect()} == {(b"a", True), (b"b", True), (b"c", True)}
+
+
+def test_parts_are_merged_and_shards_split(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "MERGE_PARTS", 3)
+    monkeypatch.setattr(dedup, "SHARD_IDS", 4)
+    path, batch, seen = scratch(spark, "store"), _batch(spark), set()
+    rng = random.Random(1)
+    for k in range(9):
+        store = dedup.SeenStore(spark, path, 1)
+        ids = [str(rng.randrange(30)) for _ in range(5)]
+        store.take(batch(*[(i, 10 * k + j) for j, i in enumerate(ids)]), keep_results=2)
+        first = {}
+        for j, i in enumerate(ids):
+            first.setdefault(i, 10 * k + j)
+        assert sorted(r.arrival for r in store.kept().collect()) == sorted(a for i, a in first.items() if i not in seen)
+        seen |= set(ids)
+    assert store.shards >= 8 and len(store.meta["dict"]) < 9 and len(store.meta["results"]) == 2
+    folders = [x for x in session.listing(spark, path) if x.startswith("v")]
+    assert sum(session.exists(spark, f"{path}/{x}/kind=dict") for x in folders) <= len(store.meta["dict"]) + 3
+
+
+def test_many_repeated_identifiers_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    data = [(f"{(i % 50 if i % 3 else 7):032x}", i) for i in range(400)] + [(None, 500), (f"{1:032x}", None)]
+    df = spark.createDataFrame(data, "event_id string, seq bigint")
+    first = {}
+    for e, s in data:
+        if e and s is not None:
+            first.setdefault(e, s)
+    assert {r.seq for r in dedup.deduplicated(df).collect()} == set(first.values()) | {500, None}
+    assert dedup.surplus(df).count() == len(data) - 2 - len(first)
 
 
 def test_bitmaps_and_dictionary_round_trip():

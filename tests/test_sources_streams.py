@@ -2,7 +2,7 @@ import gzip
 import json
 
 import pytest
-from editwake import config, logs, report, sinks
+from editwake import config, logs, report, session, sinks
 from editwake.__main__ import main
 from editwake.functions import text as X
 from editwake.operators import late
@@ -12,6 +12,7 @@ from editwake.sources import lookup as L
 from editwake.sources import sse
 from editwake.streaming.dedup import FirstDeliveries
 from editwake.streaming.late import LateCounts, run
+from editwake.streaming.state import VersionedState
 
 
 def member(lines, cut=0):
@@ -154,6 +155,45 @@ def test_streamed_counts_equal_batch_and_redelivery_counts_once(spark, rows):
     assert target.updates().count() > target.counts().count()
 
 
+def test_batch_killed_between_commit_and_copy_loses_nothing(spark, rows, monkeypatch):
+    df = edits(spark)
+    whole, cut = (LateCounts(spark, scratch(spark, "t"), ["wiki"], period=60, lateness=500) for _ in range(2))
+    pieces = [df.where("seq <= 150"), df.where("seq > 150")]
+    for k, rows_of in enumerate(pieces):
+        whole(rows_of, k)
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    for k, rows_of in enumerate(pieces):
+        monkeypatch.setattr(VersionedState, "append", dies)
+        with pytest.raises(KeyboardInterrupt):
+            cut(rows_of, k)
+        monkeypatch.undo()
+        cut = LateCounts(spark, cut.path, ["wiki"], period=60, lateness=500)
+        cut(rows_of, k)
+    for name in ("counts", "diverted", "updates"):
+        assert rows(getattr(cut, name)()) == rows(getattr(whole, name)()), name
+    assert spark.read.parquet(cut.state.folder("counts")).count() < cut.counts().count()
+
+
+def test_state_survives_a_kill_before_its_mark(spark, rows, monkeypatch):
+    path = scratch(spark, "state")
+    state = VersionedState(spark, path)
+    state.commit(0, {"t": spark.range(3)}, clock=5)
+    for name in ("rename", "write_text"):
+        monkeypatch.setattr(session, name, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            VersionedState(spark, path).commit(1, {"t": spark.range(9)})
+        monkeypatch.undo()
+        after = VersionedState(spark, path)
+        assert after.meta["batch"] == 0 and after.meta["clock"] == 5 and after.table("t", "id bigint").count() == 3
+    after.commit(1, {"t": spark.range(9)})
+    assert VersionedState(spark, path).table("t", "id bigint").count() == 9
+    with pytest.raises(OSError):
+        session.publish(spark, path, 2, "another writer")
+
+
 def test_streamed_first_deliveries(spark, rows):
     df = edits(spark)
     target = FirstDeliveries(spark, scratch(spark, "t"), shards=3)
