@@ -38,9 +38,15 @@ def p3_combined(spark, d):
 
 
 def p3_within_one_percent(spark, d):
-    """Summaries of bounded size: each percentile within 1 % of the exact one."""
+    """Percentiles from summaries of bounded size, each held against the exact one: within_bound says it lies within 1 %."""
     parts = quantiles.summary(_lags(spark, d), GROUPS, "lag_seconds", part="day", relative_error=0.01)
-    return quantiles.select_percentiles(parts, GROUPS, PERCENTS).drop("rounds")
+    near = quantiles.select_percentiles(parts, GROUPS, PERCENTS).select(*[F.col(c).alias(f"_{c}") for c in GROUPS], F.col("percent").alias("_percent"), F.col("value").alias("near"), F.col("n").alias("near_n"))
+    exact = p3_percentiles(spark, d)
+    on = F.lit(True)
+    for c in [*GROUPS, "percent"]:
+        on = on & exact[c].eqNullSafe(F.col(f"_{c}"))
+    within = (F.abs(F.col("near") - F.col("value")) <= 0.01 * F.abs("value") + 1e-9) & (F.col("n") == F.col("near_n"))
+    return exact.join(near, on, "left").select(*GROUPS, "percent", "n", "value", F.coalesce(within, F.lit(False)).alias("within_bound"))
 
 
 def p7_found(spark, d):
@@ -121,6 +127,7 @@ ORACLE = {
     "p3_percentiles": _percentile_sql(_ALL),
     "p3_daily": _percentile_sql(_ALL + ", day"),
     "p3_combined": _percentile_sql(_ALL),
+    "p3_within_one_percent": f"select *, true as within_bound from ({_percentile_sql(_ALL)})",
     "p7_found": """select 'title' as field, title as key_value from edits group by title having count(*) >= 0.006 * (select count(*) from edits)
 union all select 'qid', qid from propagation_records group by qid having count(*) >= 0.006 * (select count(*) from propagation_records)""",
     "p7_top_titles": _TOP.format("title", "edits"),
