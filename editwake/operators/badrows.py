@@ -30,19 +30,114 @@ class Fault(ValueError):
     """Why a line isn't loaded."""
 
 
+class Long(str):
+    """The digits of an integer that is too long to be worked out as a number."""
+
+
 def _no_constant(name: str) -> None:
     raise Fault(f"json: {name} is no JSON value")
 
 
+def _integer_or_long(digits: str) -> int | Long:
+    return int(digits) if len(digits) < 4_000 else Long(digits)
+
+
 _decoder = json.JSONDecoder(parse_constant=_no_constant)
+_decoder_of_long = json.JSONDecoder(parse_constant=_no_constant, parse_int=_integer_or_long)
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|(")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def decode_deep(text: str) -> object:
+    """A JSON text of any depth, read with a stack of its own instead of the interpreter's. Same values, same faults."""
+    stack: list = []  # open lists and objects; an object with the key that waits for its value
+    keys: list[str | None] = []
+    at, state, result = 0, "value", None
+    while True:
+        m = _TOKEN.match(text, at)
+        if state == "end" and (not m or m.end() == at):
+            break
+        if not m:
+            raise Fault("json: no JSON value")
+        at = m.end()
+        mark, quote, number, word = m.groups()
+        if state == "end":
+            raise Fault("json: more than one value")
+        if quote:
+            try:
+                value, at = json.decoder.scanstring(text, at, True)
+            except json.JSONDecodeError as e:
+                raise Fault(f"json: {e.msg}") from None
+            if state in {"key", "first key"}:
+                keys[-1], state = value, "colon"
+                continue
+        elif number:
+            value = _integer_or_long(number) if number.lstrip("-").isdigit() else float(number)
+        elif word:
+            value = _WORDS[word]
+        elif mark in "{[" and state in {"value", "first value"}:
+            stack.append({} if mark == "{" else [])
+            keys.append(None)
+            state = "first key" if mark == "{" else "first value"
+            continue
+        elif mark == ":" and state == "colon":
+            state = "value"
+            continue
+        elif mark == "," and state == "comma":
+            state = "key" if isinstance(stack[-1], dict) else "value"
+            continue
+        elif (mark == "}" and state in {"first key", "comma"} and isinstance(stack[-1], dict)) or (mark == "]" and state in {"first value", "comma"} and isinstance(stack[-1], list)):
+            value = stack.pop()
+            keys.pop()
+            state = "value"
+        else:
+            raise Fault(f"json: {mark} out of place")
+        if state not in {"value", "first value"}:
+            raise Fault("json: value out of place")
+        if not stack:
+            result, state = value, "end"
+        else:
+            if isinstance(stack[-1], dict):
+                stack[-1][keys[-1]] = value
+            else:
+                stack[-1].append(value)
+            state = "comma"
+    if text[at:].strip(_BLANKS):
+        raise Fault("json: more than one value")
+    return result
+
+
+def decode_json(text: str) -> object:
+    """One RFC 8259 value, blanks around it allowed, or Fault; integers of any length and any depth."""
+    text = text.strip(_BLANKS)
+    if not text:
+        raise Fault("json: nothing")
+    try:
+        try:
+            return _decoder.decode(text)
+        except (json.JSONDecodeError, Fault, RecursionError):
+            raise
+        except ValueError:  # an integer of more digits than the interpreter converts
+            return _decoder_of_long.decode(text)
+    except RecursionError:
+        return decode_deep(text)
+    except json.JSONDecodeError as e:
+        raise Fault(f"json: {e.msg}") from None
+
+
+def _integer(text: str) -> int | Long:
+    """An integer's value from its digits, zeros in front and a sign allowed; its text where it is too long for a number."""
+    digits = text.lstrip("+-").lstrip("0") or "0"
+    sign = "-" if text.startswith("-") and digits != "0" else ""
+    return int(sign + digits) if len(digits) < 4_000 else Long(sign + digits)
 
 
 def _second(value: object, field: str) -> int:
-    if isinstance(value, str) and _DIGITS.fullmatch(value) and len(value) < 20:
-        value = int(value)
-    if type(value) is not int:
+    if type(value) is str and _DIGITS.fullmatch(value):
+        value = _integer(value)
+    if type(value) is not int and not isinstance(value, Long):
         raise Fault(f"{field}: no integer")
-    if not FIRST_SECOND <= value < END_SECOND:
+    if isinstance(value, Long) or not FIRST_SECOND <= value < END_SECOND:
         raise Fault(f"{field}: outside 2001 to 2035")
     return value
 
@@ -51,18 +146,18 @@ def _big(value: object) -> int | None:
     return value if type(value) is int and -(2**63) <= value < 2**63 else None
 
 
+def _utf8(text: str) -> str:
+    """The text with a replacement mark for each half of a surrogate pair that stands alone, which JSON allows."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def parse_event(text: str) -> dict:
     """Typed fields of an event line, or Fault. Keys that don't decide validity become NULL where their type is wrong."""
-    try:
-        event = _decoder.decode(text.strip(_BLANKS)) if text.strip(_BLANKS) else _no_constant("nothing")
-    except RecursionError:
-        raise Fault("json: nested too deep") from None
-    except json.JSONDecodeError as e:
-        raise Fault(f"json: {e.msg}") from None
-    except Fault:
-        raise
-    except ValueError:
-        raise Fault("json: number too long") from None
+    event = decode_json(text)
     if not isinstance(event, dict):
         raise Fault("json: no object")
     meta = event.get("meta")
@@ -70,11 +165,12 @@ def parse_event(text: str) -> dict:
         raise Fault("meta: no object")
     named = {"event_id": meta.get("id"), "wiki": event.get("wiki"), "title": event.get("title"), "change_type": event.get("type")}
     for field, value in named.items():
-        if not isinstance(value, str) or not value:
+        if not isinstance(value, str) or isinstance(value, Long) or not value:
             raise Fault(f"{field}: no text")
+        named[field] = _utf8(value)
     revision, length = event.get("revision"), event.get("length")
     revision, length = (x if isinstance(x, dict) else {} for x in (revision, length))
-    text_of = lambda x: x if isinstance(x, str) else None
+    text_of = lambda x: _utf8(x) if isinstance(x, str) and not isinstance(x, Long) else None
     return named | {
         "ts": _second(event.get("timestamp"), "timestamp"), "namespace": _big(event.get("namespace")), "bot": event.get("bot") is True,
         "user_name": text_of(event.get("user")), "edit_comment": text_of(event.get("comment")), "revision": _big(revision.get("new")),
@@ -104,42 +200,30 @@ def assemble(lines: Iterable[str]) -> Iterator[str]:
         yield "\n".join(held)
 
 
-def _bare_faults(text: str) -> bool:
-    """A quote inside an unquoted field, or a bare line break outside quotes: what the strict reader lets pass."""
-    inside = False
-    at_start = True
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if inside:
-            if ch == '"':
-                if text[i + 1 : i + 2] == '"':
-                    i += 1
-                else:
-                    inside = False
-        elif ch == '"':
-            if not at_start:
-                return True
-            inside = True
-        elif ch in "\r\n":
-            return True
-        at_start = not inside and ch == ","
-        i += 1
-    return False
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)'
+_RECORD = re.compile(rf"{_FIELD}(?:,{_FIELD})*+")
 
 
 def parse_csv(text: str) -> list[str]:
-    """The fields of exactly one RFC 4180 record, or Fault. One line end after the record is allowed."""
-    body = text[:-2] if text.endswith("\r\n") else text[:-1] if text.endswith("\n") else text
-    if any(c in body for c in "\"\r\n") and _bare_faults(body):
-        raise Fault("csv: quote or line break in an unquoted field")
+    """The fields of exactly one RFC 4180 record, or Fault. One line end after the record is allowed.
+
+    The physical lines of the text are assembled to records, quote-aware; there must be one. What the strict reader would
+    still let pass is checked before it splits the record: a quote inside an unquoted field, a bare carriage return.
+    """
+    records = list(assemble(text.split("\n")))
+    ended = len(records) > 1 and not records[-1]
+    if len(records) != 1 + ended:
+        raise Fault("csv: not one record")
+    body = records[0].removesuffix("\r") if ended else records[0]
+    if ('"' in body or "\r" in body or "\n" in body) and not _RECORD.fullmatch(body):
+        raise Fault("csv: quote or line break out of place")
     try:
         rows = list(csv.reader(io.StringIO(body, newline=""), strict=True))
     except csv.Error as e:
         raise Fault(f"csv: {e}") from None
-    if len(rows) != 1:
+    if len(rows) > 1:
         raise Fault("csv: not one record")
-    return rows[0]
+    return rows[0] if rows else [""]
 
 
 csv.field_size_limit(2**31 - 1)
@@ -154,17 +238,22 @@ def parse_record(text: str) -> dict:
     if not _ITEM.fullmatch(row["qid"]):
         raise Fault("qid: no item")
     for field in ("rank", "leader_timestamp", "follower_timestamp", "lag_seconds"):
-        if not _INTEGER.fullmatch(row[field]) or len(row[field]) > 18:
+        if not _INTEGER.fullmatch(row[field]):
             raise Fault(f"{field}: no integer")
-        row[field] = int(row[field])
-    if not 2 <= row["rank"] < 2**31:
+        row[field] = _integer(row[field])
+    if str(row["rank"]).startswith("-") or row["rank"] in (0, 1):
         raise Fault("rank: below 2")
     for field in ("leader_wiki", "follower_wiki"):
         if not row[field]:
             raise Fault(f"{field}: empty")
     for field in ("leader_timestamp", "follower_timestamp"):
         _second(row[field], field)
-    return row
+    beyond = []
+    for field, bits in (("rank", 31), ("lag_seconds", 63)):
+        if isinstance(row[field], Long) or not -(2**bits) <= row[field] < 2**bits:
+            beyond.append(f"{field}={row[field]}")
+            row[field] = None
+    return row | {"beyond": ",".join(beyond) or None}
 
 
 EVENT = (
@@ -173,7 +262,7 @@ EVENT = (
 )
 RECORD = (
     "qid string, rank int, leader_wiki string, leader_title string, leader_timestamp bigint, follower_wiki string, "
-    "follower_title string, follower_timestamp bigint, follower_user string, lag_seconds bigint"
+    "follower_title string, follower_timestamp bigint, follower_user string, lag_seconds bigint, beyond string"
 )
 _KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
@@ -186,7 +275,8 @@ def parsed(lines: DataFrame, file: str = "file", line_no: str = "line_no", text:
     """Every line: file, line_no, reason (NULL where it loads), and its typed fields in event or record.
 
     *.jsonl.gz and *.jsonl hold events, *.csv.gz and *.csv records; lines of other files, and NULL lines, have a reason of
-    their own. Lines are parsed where they lie, without a shuffle; the structure is checked first, then each typed field.
+    their own. A rank or lag that the column's type can't hold is a valid integer: the column is NULL then, and beyond
+    holds the number as text. Lines are parsed where they lie, without a shuffle; the structure is checked first, then each typed field.
     """
     schema = pa.schema([("file", pa.string()), ("line_no", pa.int64()), ("reason", pa.string()), ("event", _struct(EVENT)), ("record", _struct(RECORD))])
 
@@ -234,6 +324,7 @@ def records(lines: DataFrame) -> DataFrame:
 
 
 def reasons(lines: DataFrame) -> DataFrame:
-    """Lines per kind of file and reason; valid lines under NULL."""
+    """Lines per kind of file and of fault, which is the part of the line that fails first; valid lines under NULL."""
     kind = F.when(F.col("file").rlike(r"\.jsonl(\.gz)?$"), "events").when(F.col("file").rlike(r"\.csv(\.gz)?$"), "records").otherwise("other")
-    return parsed(lines).groupBy(kind.alias("kind"), "reason").agg(F.count(F.lit(1)).alias("lines"))
+    part = F.substring_index("reason", ":", 1)
+    return parsed(lines).groupBy(kind.alias("kind"), part.alias("reason")).agg(F.count(F.lit(1)).alias("lines"))

@@ -101,6 +101,31 @@ ID = r"regexp_replace(regexp_replace(lower(trim(event_id)), '^(urn:uuid:)?\{?|\}
 SESSIONS = """with g as (select qid, ts, coalesce(ts - lag(ts) over (partition by qid order by ts) > 1800, true) as starts from edits where qid is not null),
 s as (select *, sum(starts::int) over (partition by qid order by ts rows unbounded preceding) as k from g),
 r as (select qid, min(ts) as session_start, max(ts) as session_end, max(ts) - min(ts) as duration_seconds, count(*) as events from s group by qid, k)"""
+_F = r'("(?:[^"]|"")*"|[^",\r\n]*)'
+_FIELDS = badrows.RECORD_FIELDS
+_WHOLE = "^[+-]?[0-9]+$"
+_VALUE = "(case when starts_with({0}, '\"') then replace(substring({0}, 2, length({0}) - 2), '\"\"', '\"') else {0} end)"
+# Lines split and typed by patterns. A number beyond 38 digits doesn't occur in the tables; the tests have it.
+_LINES = rf"""with l as (select file, line_no, text, file like '%.csv.gz' as is_csv, file like '%.jsonl.gz' as is_json from raw_lines),
+cx as (select *, regexp_extract(regexp_replace(text, '\r?\n$', ''), '^{",".join([_F] * 9)},(.*)$', {[*_FIELDS[:9], "rest"]!r}, 's') as x,
+ regexp_full_match(regexp_replace(text, '\r?\n$', ''), '{_F}(,{_F}){{9}}') as ten from l where is_csv),
+cy as (select *, {", ".join(f"{_VALUE.format('x.' + ('rest' if f == 'lag_seconds' else f))} as {f}" for f in _FIELDS)} from cx),
+cz as (select *, try_cast(leader_timestamp as hugeint) as l_at, try_cast(follower_timestamp as hugeint) as f_at, try_cast(rank as hugeint) as rk from cy),
+c as (select *, case when not ten then 'csv' when not regexp_full_match(qid, 'Q[0-9]+') then 'qid' when not regexp_matches(rank, '{_WHOLE}') then 'rank'
+ when not regexp_matches(leader_timestamp, '{_WHOLE}') then 'leader_timestamp' when not regexp_matches(follower_timestamp, '{_WHOLE}') then 'follower_timestamp'
+ when not regexp_matches(lag_seconds, '{_WHOLE}') then 'lag_seconds' when rk < 2 then 'rank' when leader_wiki = '' then 'leader_wiki' when follower_wiki = '' then 'follower_wiki'
+ when not coalesce(l_at between 978307200 and 2082758399, false) then 'leader_timestamp' when not coalesce(f_at between 978307200 and 2082758399, false) then 'follower_timestamp' end as reason from cz),
+jx as (select *, case when json_valid(text) and not regexp_matches(regexp_replace(text, '"(\\.|[^"\\])*"', '""', 'g'), ',\s*[}}\]]')
+ and not regexp_matches(regexp_replace(regexp_replace(text, '"(\\.|[^"\\])*"', '""', 'g'), 'true|false|null', '', 'g'), '[A-DF-Za-df-z]') then text::json end as j from l where is_json),
+jy as (select *, json_type(j, '$.meta') as mt, json_type(j, '$.timestamp') as tt, j->>'$.timestamp' as tx from jx),
+js as (select *, case when tt in ('UBIGINT', 'BIGINT', 'HUGEINT') or tt = 'VARCHAR' and regexp_full_match(tx, '[0-9]+') then try_cast(tx as hugeint) end as ts from jy),
+j as (select *, case when j is null or json_type(j) <> 'OBJECT' then 'json' when mt is distinct from 'OBJECT' then 'meta'
+ when json_type(j, '$.meta.id') is distinct from 'VARCHAR' or (j->>'$.meta.id') = '' then 'event_id' when json_type(j, '$.wiki') is distinct from 'VARCHAR' or (j->>'$.wiki') = '' then 'wiki'
+ when json_type(j, '$.title') is distinct from 'VARCHAR' or (j->>'$.title') = '' then 'title' when json_type(j, '$.type') is distinct from 'VARCHAR' or (j->>'$.type') = '' then 'change_type'
+ when not coalesce(ts between 978307200 and 2082758399, false) then 'timestamp' end as reason from js),
+f as (select file, line_no, 'records' as kind, reason from c union all select file, line_no, 'events', reason from j union all select file, line_no, 'other', 'file' from l where not is_csv and not is_json)"""
+_TEXT = "case when json_type(j, '{0}') = 'VARCHAR' then j->>'{0}' end"
+_BIG = "case when json_type(j, '{0}') in ('UBIGINT', 'BIGINT') then try_cast(j->>'{0}' as bigint) end"
 ORACLE = {
     "p1_found": f"{CLOCKED} select seq from l where late",
     "p1_updates": f"""{CLOCKED}, p as (select wiki, ts - ts % 3600 as period_start, batch_id, count(*) as n from l where not late group by all)
@@ -122,6 +147,14 @@ from edits group by wiki""",
 count(*) over (partition by qid) as n from propagation_records where lag_seconds is not null)
 select qid, max(n) as n, min(v) as low, max(v) as high, min(v) filter (k * 100 >= n * 50) as p50, min(v) filter (k * 100 >= n * 95) as p95
 from o group by qid""",
+    "p6_found": f"{_LINES} select file, line_no from f where reason is not null",
+    "p6_reasons": f"{_LINES} select kind, reason, count(*) as lines from f group by 1, 2",
+    "p6_records": f"""{_LINES} select file, line_no, qid, cast(rank as integer) as rank, leader_wiki, leader_title, cast(l_at as bigint) as leader_timestamp, follower_wiki, follower_title,
+cast(f_at as bigint) as follower_timestamp, follower_user, cast(lag_seconds as bigint) as lag_seconds, cast(null as varchar) as beyond from c where reason is null""",
+    "p6_events": f"""{_LINES} select file, line_no, j->>'$.meta.id' as event_id, j->>'$.wiki' as wiki, j->>'$.title' as title, j->>'$.type' as change_type, cast(ts as bigint) as ts,
+{_BIG.format("$.namespace")} as namespace, coalesce(json_type(j, '$.bot') = 'BOOLEAN' and (j->>'$.bot') = 'true', false) as bot, {_TEXT.format("$.user")} as user_name,
+{_TEXT.format("$.comment")} as edit_comment, {_BIG.format("$.revision.new")} as revision, {_BIG.format("$.length.old")} as length_old, {_BIG.format("$.length.new")} as length_new,
+{_TEXT.format("$.meta.dt")} as stream_dt from j where reason is null""",
     "p5_records_with_windows": """select r.qid, r.rank, r.leader_wiki, r.follower_wiki, r.leader_timestamp, r.lag_seconds, w.windows, w.human_edits
 from propagation_records r left join (select qid, count(*) as windows, cast(sum(human_edits) as bigint) as human_edits
 from (select distinct * from item_windows) group by qid) w on r.qid = w.qid""",

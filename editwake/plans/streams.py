@@ -12,6 +12,7 @@ from editwake.operators import propagation as G
 from editwake.operators import resolve as R
 from editwake.plans import problems, reference
 from editwake.plans.problems import table
+from editwake.sources.gzip_lines import lines_of
 from editwake.sources.lookup import Refused, TryAgain, look_up, matched_table
 from editwake.sources.sse import frames_of
 from editwake.streaming import archive
@@ -65,30 +66,29 @@ def streaming_archive(spark, d):
 
 
 def gzip_salvage(spark, d):
-    """Lines per file after the archive's lines were written as gzip, the last member of each stretch cut short, and read back.
-
-    Lines are written, damaged and read in stretches of 10,000 where they are; the whole table goes through.
-    """
+    """Lines per file after the archive was written as gzip, in stretches of 10,000 lines each a file of two members, the
+    second one cut short, and read back by the salvaging scan. The whole table goes through; a text with a line break
+    comes out as several lines."""
     import gzip
 
     import pyarrow as pa
 
-    from editwake.sources.gzip_lines import lines as salvage
-
     session.ship(spark)
 
-    def there_and_back(rows: pa.Table) -> pa.Table:
+    def written(rows: pa.Table) -> pa.Table:
         texts = rows.sort_by("line_no").column("text").to_pylist()
         half = len(texts) // 2
         whole = gzip.compress("".join(f"{t}\n" for t in texts[:half]).encode())
         cut = gzip.compress("".join(f"{t}\n" for t in texts[half:]).encode())[:-8]  # all data, but no end mark
-        got = list(salvage(whole + cut))
-        same = [g[2] for g in got] == [t.strip() for t in texts if t.strip()]
-        return pa.table({"file": [rows.column("file")[0].as_py()], "lines": [len(got)], "same": [same], "damaged": [sum(g[3] for g in got)]})
+        name = rows.column("file")[0].as_py().replace(".csv.gz", ".csv.lines.gz")  # lines, not records
+        return pa.table({"path": [f"{rows.column('stretch')[0].as_py()}/{name}"], "content": pa.array([whole + cut], pa.binary())})
 
-    files = table(spark, d, "raw_lines").where(~F.contains("text", F.lit("\n"))).select("file", bucket(F.col("line_no"), 10_000).alias("stretch"), "line_no", "text")
-    parts = files.groupBy("file", "stretch").applyInArrow(there_and_back, "file string, lines bigint, same boolean, damaged bigint")
-    return parts.groupBy("file").agg(F.sum("lines").alias("lines"), F.bool_and("same").alias("same"), F.sum("damaged").alias("damaged"))
+    lines = table(spark, d, "raw_lines").where("text is not null").select("file", bucket(F.col("line_no"), 10_000).alias("stretch"), "line_no", "text")
+    files = session.stage(lines.groupBy("file", "stretch").applyInArrow(written, "path string, content binary"), "gzip")
+    back = lines_of(files).withColumn("file", F.replace("file", F.lit(".csv.lines.gz"), F.lit(".csv.gz")))
+    return back.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("damaged"), 1)).alias("damaged"), F.sum(F.length("text")).alias("characters"), F.max("member").alias("last_member"),
+    )
 
 
 def sse_frames(spark, d):
@@ -146,8 +146,10 @@ def _oracle() -> dict[str, str]:
         "streaming_late_rows": f"{clocked} select seq from l where late",
         "streaming_propagation": reference.ORACLE["propagation_records"],
         "streaming_archive": f"select coalesce(hour, 'unknown') as hour, events from ({reference.ORACLE['hourly_buckets']})",
-        "gzip_salvage": """select file, cast(sum(lines) as bigint) as lines, true as same, cast(sum(damaged) as bigint) as damaged from (select file, count(*) filter (trim(text) <> '') as lines,
-count(*) - count(*) // 2 as damaged from raw_lines where not contains(text, chr(10)) group by file, line_no // 10000) group by 1""",
+        "gzip_salvage": """with p as (select file, line_no // 10000 as st, text, row_number() over (partition by file, line_no // 10000 order by line_no) as k,
+count(*) over (partition by file, line_no // 10000) as n from raw_lines where text is not null),
+l as (select file, k > n // 2 as late, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) as t from p)
+select file, count(*) as lines, count(*) filter (late) as damaged, cast(sum(length(t)) as bigint) as characters, cast(1 as integer) as last_member from l where t <> '' group by 1""",
         "sse_frames": """select file, cast(last_value(case when line_no % 3 = 0 then line_no end ignore nulls) over (partition by file order by line_no) as varchar) as id,
 'message' as event, text as data from raw_lines where file like '%.jsonl.gz'""",
         "api_response_match": "select wiki as site, title, qid from resolutions",

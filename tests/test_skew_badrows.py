@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from editwake.sources import gzip_lines
 from editwake.operators import badrows, skew
 
 
@@ -69,6 +70,8 @@ def event(**changes):
 @pytest.mark.parametrize("line", [
     event(), "  " + event() + "\r\n", event(timestamp="1610000000"), event(timestamp=978_307_200), event(timestamp=2_082_758_399), event(bot="yes", user=5),
     event().replace('"T"', '"\\ud83d"'), event(extra=[{"a": [1, 2.5e3, None]}]), event(revision=7),
+    event(timestamp="0" * 60 + "1610000000"), event(extra=1).replace("1}", "9" * 6_000 + "}"), event(extra="DEEP").replace('"DEEP"', "[" * 20_000 + "]" * 20_000),
+    event(extra="DEEP").replace('"DEEP"', '{"a": [1, {"b": ' * 20_000 + '"\\ud800"' + "}]}" * 20_000), event(timestamp="0" * 5_000 + "1610000000"),
 ])
 def test_valid_events(line):
     assert badrows.parse_event(line)["wiki"] == "enwiki"
@@ -91,6 +94,7 @@ REC = "Q1,2,enwiki,Title,1610000000,dewiki,Titel,1610000060,Ann,60"
 
 @pytest.mark.parametrize("line", [
     REC, REC + "\r\n", REC.replace("Ann", '"Ann, ""B"""'), REC.replace("Title", '"two\nlines"'), REC.replace("Ann", ""), REC.replace(",60", ",-60"), ",".join(f'"{x}"' for x in REC.split(",")),
+    REC.replace(",60", "," + "9" * 30), REC.replace(",60", ",-" + "9" * 5_000), REC.replace("1610000000", "0" * 30 + "1610000000"), REC.replace("Title", '"a\r\n,""b"'),
 ])
 def test_valid_records(line):
     assert badrows.parse_record(line)["rank"] == 2
@@ -99,13 +103,50 @@ def test_valid_records(line):
 @pytest.mark.parametrize("line", [
     "", REC + "," + REC, REC.rsplit(",", 1)[0], REC.replace("Title", 'Ti"tle'), REC.replace("Title", '"Title'), REC.replace("Title", '"Tit"le'), REC.replace(",", "\t"), REC.replace("Q1", "q1"),
     REC.replace(",2,", ",1,"), REC.replace(",2,", ",II,"), REC.replace(",2,", ",2.0,"), REC.replace("enwiki", ""), REC.replace("1610000000", "1610000000000"), REC.replace(",60", ","), REC.replace(",60", ",nan"),
-    REC + "\n" + REC, REC.replace("Title", "Ti\rtle"), " " + REC, REC + " ", REC.replace(",60", ",60,"),
+    REC + "\n" + REC, REC.replace("Title", "Ti\rtle"), " " + REC, REC + " ", REC.replace(",60", ",60,"), REC + "\r", REC.replace("Title", 'T"it"le'), REC.replace(",2,", ",-" + "9" * 30 + ","), REC.replace("1610000000", "9" * 5_000),
 ])
 def test_faulty_records(line):
     with pytest.raises(badrows.Fault):
         badrows.parse_record(line)
 
 
+def test_numbers_beyond_their_type_load_as_text():
+    row = badrows.parse_record(REC.replace(",2,", ",3000000000,").replace(",60", "," + "7" * 5_000))
+    assert (row["rank"], row["lag_seconds"], row["beyond"]) == (None, None, "rank=3000000000,lag_seconds=" + "7" * 5_000)
+
+
+@pytest.mark.parametrize("value", [
+    '{"a":[1,-2.5e3,{"b":null},true,""],"a":"x\\n\\u00e9","c":{}}', "[]", " [ ] ", "[[],{}]", '"s"', "1e5", "-0", "[1 ,2]",
+    "[1,]", '{"a":1,}', "{,}", "[1 2]", '{"a" 1}', "[", "]", "{]", "1 2", "[1]]", '{1:2}', "nul", "01", "[.5]", '["\t"]', "[NaN]", "", '{"a":}', ",", "[:]", '"a', "[1}",
+])
+def test_reader_of_any_depth_agrees_with_the_usual_one(value):
+    try:
+        want = badrows.decode_json(value)
+    except badrows.Fault:
+        with pytest.raises(badrows.Fault):
+            badrows.decode_deep(value)
+    else:
+        assert badrows.decode_deep(value) == want
+
+
+@pytest.mark.parametrize("tail", ["]", "", "1"])
+def test_deep_faults(tail):
+    with pytest.raises(badrows.Fault):
+        badrows.parse_event(event(extra="DEEP").replace('"DEEP"', "[" * 20_000 + "]" * 19_999 + "}") + tail)
+
+
+def test_records_of_files_go_over_several_lines(spark, tmp_path):
+    import gzip
+
+    texts = [REC, REC.replace("Title", '"two\n\nlines, ""quoted"""'), "", REC.replace("Title", '"open'), REC]
+    whole = gzip.compress(("\r\n".join(texts[:3]) + "\n").encode())
+    (tmp_path / "records-1.csv.gz").write_bytes(whole + gzip.compress(("\n".join(texts[3:]) + "\n").encode()))
+    lines = gzip_lines.read_archive(spark, str(tmp_path), "*.csv.gz")
+    assert [r.text for r in lines.orderBy("line_no").collect()] == [texts[0], texts[1], "\n".join(texts[3:])]
+    assert [r.leader_title for r in badrows.records(lines).orderBy("line_no").collect()] == ["Title", 'two\n\nlines, "quoted"']
+    assert badrows.faulty(lines).count() == 1
+
+
 def test_records_assembled_over_lines():
     lines = ["a,b", 'c,"d', "", 'e""",f', "g", '"open', "end"]
     assert list(badrows.assemble(lines)) == ["a,b", 'c,"d\n\ne""",f', "g", '"open\nend']
