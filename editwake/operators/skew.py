@@ -13,6 +13,7 @@ from editwake import session
 from editwake.functions.columns import free_name
 
 SHARE = 0.05
+BROADCAST_ROWS = 200_000
 
 
 def _thin(counts: dict, room: int) -> dict:
@@ -77,11 +78,22 @@ def key_counts(df: DataFrame, key: str, aggs: dict[str, tuple[str, str]], share:
     """
     again = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
     salt = free_name(df, "salt")
-    heavy, light, _ = split_by_weight(df, key, share)
+    heavy, light, names = split_by_weight(df, key, share)
     figures = lambda: [getattr(F, how)(F.expr(e)).alias(name) for name, (how, e) in aggs.items()]
-    part = heavy.withColumn(salt, F.pmod(F.xxhash64(*[F.expr(e) for _, e in aggs.values()]), F.lit(salts))).groupBy(key, salt).agg(*figures())
+    part = heavy.withColumn(salt, F.pmod(F.xxhash64(*[F.expr(e) for _, e in aggs.values()], F.spark_partition_id()), F.lit(salts))).groupBy(key, salt).agg(*figures())
     whole = part.groupBy(key).agg(*[getattr(F, again[how])(name).alias(name) for name, (how, _) in aggs.items()])
-    return whole.unionByName(light.groupBy(key).agg(*figures()))
+    lights = light.groupBy(key).agg(*figures())
+    return whole.unionByName(lights) if names else lights
+
+
+def keys_by_share(df: DataFrame, key: str, share: float = SHARE) -> DataFrame:
+    """(key_value STRING, n): keys that hold at least `share` of all rows, NULL keys' rows included in all.
+
+    All keys are counted as in key_counts(): the heavy ones found by the sketch apart, by broadcast of their list, the
+    others by an ordinary shuffle, both united. What reaches the share is then exact, whatever the sketch proposed.
+    """
+    counted = key_counts(df.select(key), key, {"n": ("count", "1")}, share).where(F.col(key).isNotNull())
+    return counted.where(F.col("n") >= F.lit(share * df.count())).select(F.col(key).cast("string").alias("key_value"), "n")
 
 
 def _ranks(percents: list[int]) -> list:
@@ -89,14 +101,19 @@ def _ranks(percents: list[int]) -> list:
     return [F.greatest(F.lit(1), F.ceil(F.col("_ew_all") * p / 100).cast("bigint")).alias(f"_ew_r{p}") for p in percents]
 
 
-def key_percentiles(df: DataFrame, key: str, value: str, percents: list[int], share: float = SHARE, ranges: int = 1024) -> DataFrame:
+def key_percentiles(df: DataFrame, key: str, value: str, percents: list[int], share: float = SHARE, ranges: int | None = None) -> DataFrame:
     """Exact figures per key: n (non-NULL values), low, high, p<percent> (the least value with that share of values at or below).
 
-    Rows are first combined per (key, value), spread by both. Light keys are then resolved by one window per key. A heavy
-    key's values fall into `ranges` ranges of equal width; prefix sums over at most `ranges` rows find the range of each
-    percentile, and only those ranges are searched, each by itself. Keys without any value are left out.
+    Rows are first combined per (key, value), spread by both. Light keys are then resolved by one window per key. The
+    values of heavy keys are sorted into `ranges` ranges (default: the shuffle partitions) that hold about equally many
+    distinct values, whatever their distribution, by a sampled range partitioning; prefix sums over the ranges find the
+    one of each percentile, and only those ranges are searched, each by itself. Keys without any value are left out.
     """
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     heavy, light, _ = split_by_weight(df.select(key, value).where(F.col(value).isNotNull()), key, share)
+    # Rows without a key may be many too: they are treated as a heavy key.
+    heavy, light = heavy.unionByName(light.where(F.col(key).isNull())), light.where(F.col(key).isNotNull())
     per_value = lambda rows: rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_ew_n"))
     picked = lambda: [F.min(F.when(F.col("_ew_upto") >= F.col(f"_ew_r{p}"), F.col(value))).alias(f"p{p}") for p in percents]
     upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -104,30 +121,30 @@ def key_percentiles(df: DataFrame, key: str, value: str, percents: list[int], sh
     lights = lights.select("*", *_ranks(percents)).groupBy(key).agg(
         F.max("_ew_all").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), *picked()
     )
-    counted = per_value(heavy)
-    span = counted.groupBy(key).agg(F.sum("_ew_n").alias("_ew_all"), F.min(value).alias("low"), F.max(value).alias("high"))
-    width = F.greatest((F.col("high") - F.col("low")).cast("double") / ranges, F.lit(1e-300))
-    ranged = counted.join(F.broadcast(span), counted[key].eqNullSafe(span[key])).drop(span[key]).withColumn(
-        "_ew_range", F.least(F.floor((F.col(value) - F.col("low")).cast("double") / width), F.lit(ranges - 1)).cast("bigint")
-    )  # span has a row per heavy key: fewer than 1 / share
-    sums = ranged.groupBy(key, "_ew_range").agg(F.sum("_ew_n").alias("_ew_sum"), F.max("_ew_all").alias("_ew_all"))
-    before = F.sum("_ew_sum").over(Window.partitionBy(key).orderBy("_ew_range").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("_ew_before", F.coalesce(before, F.lit(0))).select("*", *_ranks(percents))
+    # The partition number is written down: a range stays what it was if a task runs again.
+    ranged = session.stage(per_value(heavy).repartitionByRange(ranges, key, value).withColumn("_ew_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(key, "_ew_range").agg(F.sum("_ew_n").alias("_ew_sum"), F.min(value).alias("low"), F.max(value).alias("high"))
+    of_key = Window.partitionBy(key)
+    before = F.sum("_ew_sum").over(of_key.orderBy("_ew_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(
+        F.col(key).alias("_ew_key"), F.col("_ew_range").alias("_ew_which"), "_ew_sum", F.coalesce(before, F.lit(0)).alias("_ew_before"),
+        F.sum("_ew_sum").over(of_key).alias("_ew_all"), F.min("low").over(of_key).alias("low"), F.max("high").over(of_key).alias("high"),
+    ).select("*", *_ranks(percents))
     holds = [(F.col("_ew_before") < F.col(f"_ew_r{p}")) & (F.col(f"_ew_r{p}") <= F.col("_ew_before") + F.col("_ew_sum")) for p in percents]
-    wanted = sums.where(F.array_contains(F.array(*holds), True)).drop("_ew_sum", "_ew_all")  # at most one range per percentile
+    wanted = sums.where(F.array_contains(F.array(*holds), True)).drop("_ew_sum")  # at most a range per heavy key and percentile
     inside = Window.partitionBy(key, "_ew_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w = wanted.withColumnRenamed(key, "_ew_key").withColumnRenamed("_ew_range", "_ew_which")
-    found = ranged.join(F.broadcast(w), ranged[key].eqNullSafe(F.col("_ew_key")) & (F.col("_ew_range") == F.col("_ew_which")))
+    found = ranged.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_ew_key")) & (F.col("_ew_range") == F.col("_ew_which")))
     found = found.withColumn("_ew_upto", F.col("_ew_before") + F.sum("_ew_n").over(inside))
     heavies = found.groupBy(key).agg(F.max("_ew_all").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), *picked())
     return heavies.unionByName(lights)
 
 
 def skew_join(big: DataFrame, side: DataFrame, key: str, share: float = SHARE, how: str = "left") -> DataFrame:
-    """big joined with side, whose key is unique: heavy keys by broadcast of their side rows, the rest by an ordinary join.
+    """big joined with side on a key: heavy keys by broadcast of their side rows, the rest by an ordinary join.
 
-    Unique keys bound the broadcast rows by 1 / share. Left or inner; NULL keys match nothing. Clashing columns of side
-    are renamed with a trailing underscore.
+    Where side has a row per key, fewer than 1 / share rows are broadcast; they are counted, and beyond BROADCAST_ROWS
+    (side repeats a heavy key very often) heavy keys take an ordinary join too. Left or inner; NULL keys match nothing; a
+    key that side repeats repeats the row. Clashing columns of side are renamed with a trailing underscore.
     """
     if how not in {"left", "inner"}:
         raise ValueError("how must be left or inner")
@@ -136,5 +153,11 @@ def skew_join(big: DataFrame, side: DataFrame, key: str, share: float = SHARE, h
         if c.lower() in taken:
             side = side.withColumnRenamed(c, f"{c}_")
     heavy, light, names = split_by_weight(big, key, share)
-    few = side.where(F.col(key).cast("string").isin(names)) if names else side.limit(0)
-    return heavy.join(F.broadcast(few), key, how).unionByName(light.join(side, key, how))
+    rest = light.where(F.col(key).isNotNull()).join(side, key, how)
+    if how == "left":  # rows without a key meet nothing and needn't be brought together
+        rest = rest.unionByName(light.where(F.col(key).isNull()), allowMissingColumns=True)
+    if not names:
+        return rest
+    few = side.where(F.col(key).cast("string").isin(names))
+    counted = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return heavy.join(F.broadcast(few) if counted else few, key, how).unionByName(rest)

@@ -49,7 +49,7 @@ def p4_sessions(spark, d):
 
 def p5_found(spark, d):
     found = [
-        skew.heavy_keys(table(spark, d, name).select(key), key).select(F.lit(key).alias("field"), "key_value")
+        skew.keys_by_share(table(spark, d, name).select(key), key).select(F.lit(key).alias("field"), "key_value")
         for name, key in (("edits", "wiki"), ("propagation_records", "qid"))
     ]
     return found[0].unionByName(found[1])

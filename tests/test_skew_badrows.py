@@ -51,6 +51,33 @@ def test_one_value_only_and_empty(spark):
     assert skew.key_percentiles(df.limit(0), "k", "v", [50]).count() == skew.key_counts(df.limit(0), "k", {"n": ("count", "1")}).count() == 0
 
 
+def test_outliers_dont_fill_one_range(spark):
+    """A heavy key whose values are bunched together but for a few far outliers is still spread over the ranges."""
+    data = [("hot", i % 997) for i in range(5_000)] + [("hot", 10**15), ("hot", -(10**15))] + [(f"k{i}", i) for i in range(300)] + [(None, 3), ("hot", None)]
+    df = spark.createDataFrame(data, "qid string, lag_seconds bigint")
+    got = {r.qid: r for r in skew.key_percentiles(df, "qid", "lag_seconds", [50, 95, 100], ranges=8).collect()}
+    hot = sorted(v for q, v in data if q == "hot" and v is not None)
+    assert (got["hot"].n, got["hot"].low, got["hot"].high) == (len(hot), hot[0], hot[-1])
+    assert [got["hot"][f"p{p}"] for p in (50, 95, 100)] == [hot[max(1, -(-p * len(hot) // 100)) - 1] for p in (50, 95, 100)]
+    assert len(got) == 302 and got["k7"].p50 == 7 and got[None].n == 1
+
+
+def test_keys_by_share_counts_all_keys(spark, rows):
+    data = [("a",)] * 50 + [("b",)] * 5 + [(None,)] * 40 + [("c",)] * 4 + [("d",)]
+    df = spark.createDataFrame(data, "wiki string")
+    assert rows(skew.keys_by_share(df, "wiki")) == [("a", 50), ("b", 5)]
+    assert rows(skew.keys_by_share(df.limit(0), "wiki")) == []
+
+
+def test_join_with_a_side_that_repeats_keys(spark, rows, monkeypatch):
+    big = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1), (None, 2)], "qid string, x int")
+    side = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "qid string, x int")
+    want = rows(big.join(side.withColumnRenamed("x", "x_"), "qid", "left"))
+    assert rows(skew.skew_join(big, side, "qid")) == want
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    assert rows(skew.skew_join(big, side, "qid")) == want
+
+
 def test_skew_join_equals_a_plain_join(spark, rows):
     big = spark.createDataFrame(data(), "k string, v bigint, n int")
     side = spark.createDataFrame([("hot", "H", 1), ("k3", "T", 2), (None, "N", 3), ("unused", "U", 4)], "k string, name string, v int")
