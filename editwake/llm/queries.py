@@ -91,7 +91,9 @@ def p9_shares(spark, d):
 
 
 def _judged(spark, d):
-    return leftovers.judged(_table(spark, d, "documents").select("doc_id", "wiki", "text"))
+    docs = _table(spark, d, "documents").select("doc_id", "wiki", "qid", "text")
+    titles = _table(spark, d, "resolutions").select(F.col("wiki").alias("host"), F.col("qid").alias("page"), "title")
+    return leftovers.judged(docs, page="qid", titles=titles)
 
 
 def p10_found(spark, d):
@@ -104,7 +106,9 @@ def p10_kinds(spark, d):
 
 
 def p10_kept(spark, d):
-    return leftovers.without_leftovers(_table(spark, d, "documents").select("doc_id", "wiki", "source", "lang", "text"))
+    docs = _table(spark, d, "documents").select("doc_id", "wiki", "qid", "source", "lang", "text")
+    titles = _table(spark, d, "resolutions").select(F.col("wiki").alias("host"), F.col("qid").alias("page"), "title")
+    return leftovers.without_leftovers(docs, page="qid", titles=titles)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -2,9 +2,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from editwake.llm import leftovers as L
-from editwake.llm import mixing, packing, quantiles, tokens, topk
+from editwake.llm import mixing, packing, quantiles, tokens, topk, wording
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -265,9 +266,36 @@ def test_documents_judged(spark):
     assert L.judged(docs.limit(0)).count() == 0
 
 
-def test_address_and_title_tell_mismatch(spark):
-    data = [(1, "Nothing to see.", "h", "Blue whale", "/wiki/blue-whale"), (2, "Nothing to see.", "h", "Red deer", "/wiki/red-deer"), (3, "The blue whale is large.", "h", "Blue whale", "/wiki/blue-whale"), (4, "Nothing else.", "h", "Elk", "/elk")]
-    docs = spark.createDataFrame(data, "doc_id bigint, text string, wiki string, title string, address string")
-    out = L.judged(docs, title="title", address="address")
-    assert sorted(r.doc_id for r in out.where("leftover").collect()) == [1, 2]
-    assert L.judged(docs).where("leftover").count() == 0
+def test_suspected_wording_needs_other_pages_and_no_common_term(spark):
+    """Wording that is only suspected: settled by how many pages serve it, and by their titles and slugs."""
+
+    class Suspects:
+        def score(self, passages):
+            return np.array([0.0 if "blue" in p or "elsewhere" in p else -9.0 for p in passages])
+
+    text, other = "The blue form is gone.", "Look elsewhere."
+    data = [(1, text, "h", "Q1", "Red deer"), (2, text, "h", "Q2", "Elk"), (3, text, "h", "Q3", "Blue whale"), (4, other, "h", "Q4", "Elk"), (5, other, "h", "Q4", None), (6, "Fine.", None, None, None), (7, text, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, wiki string, qid string, name string")
+    found = lambda **how: sorted(r.doc_id for r in L.judged(docs, model=Suspects(), page="qid", **how).where("leftover").collect())
+    assert found() == [1, 2, 3, 7]  # the other wording stands on one page only
+    assert found(title="name") == [1, 2, 7] == found(address="name")
+    titles = docs.selectExpr("wiki as host", "qid as page", "name as title")
+    assert found(titles=titles) == [1, 2, 7]
+    assert found(copies=4) == [1, 2, 3, 7] and found(copies=5) == []
+
+
+def test_wording_not_among_the_examples_is_told_from_real_text():
+    """Recall on held-out wording, a fifth of the examples at a time; real sentences stay apart."""
+    real = dict.fromkeys(L._phrases(L.ORDINARY), 5) | {f"the village of {a}{b} lies on the {c} river": 3 for a in ("za", "ko", "mi") for b in ("nor", "bel") for c in ("upper", "lower")}
+    hit = 0
+    for k in range(5):
+        model = wording.fit([x for i, x in enumerate(L.EXAMPLES) if i % 5 != k], real)
+        hit += int((model.score([x for i, x in enumerate(L.EXAMPLES) if i % 5 == k]) > L.SUSPECT).sum())
+        assert (model.score(list(real)) < L.SUSPECT).mean() > 0.9
+    assert hit >= 0.9 * len(L.EXAMPLES)
+
+
+def test_wording_of_any_text():
+    model = L.default_model()
+    assert len(model.score([])) == 0 and np.isfinite(model.score(["", "x", "ж" * 100_000, "\ud800"])).all()
+    assert np.allclose(model.score(["page not found", "a river"]), np.r_[model.score(["page not found"]), model.score(["a river"])])
