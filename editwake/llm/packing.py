@@ -151,3 +151,21 @@ def fill(packed: DataFrame, size: str = "tokens") -> DataFrame:
         F.avg("sources").alias("sources_per_container"),
     )
 
+
+def checked(packed: DataFrame, items: DataFrame, capacities: DataFrame, item: str = "doc_id", size: str = "tokens") -> DataFrame:
+    """Per capacity: items placed, and how often a rule is broken, which should be never.
+
+    lost: items with tokens whose pieces don't add up to all of them; torn: items cut although they fit a container;
+    overfull: containers above the capacity; clashes: copies that share a container.
+    """
+    keys = ["pack_name", "capacity_tokens"]
+    placed = packed.groupBy(*keys, item).agg(F.sum(size).alias("_ew_placed"), F.count(F.lit(1)).alias("_ew_pieces"), F.countDistinct("start").alias("_ew_starts"))
+    needed = items.where(F.col(size) > 0).groupBy(item).agg(F.sum(size).alias("_ew_needed"), F.count(F.lit(1)).alias("_ew_times"), F.max(size).alias("_ew_largest"))
+    sizes = capacities.select(*keys).where("capacity_tokens > 0").distinct()
+    wanted = needed.crossJoin(F.broadcast(sizes)).join(placed, [*keys, item], "left")  # the fixed list of capacities
+    n = lambda c: F.count(F.when(c, 1))
+    whole = F.coalesce(F.col("_ew_placed") == F.col("_ew_needed"), F.lit(False))
+    per = wanted.groupBy(*keys).agg(
+        n(whole).alias("placed"), n(~whole).alias("lost"), n((F.col("_ew_largest") <= F.col("capacity_tokens")) & (F.col("_ew_pieces") > F.col("_ew_times"))).alias("torn")
+    )
+    return per.join(fill(packed, size).select(*keys, "overfull", "clashes"), keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from editwake import session
 from editwake.llm import leftovers, mixing, packing, quantiles, tokens, topk
 
 PERCENTS = [5, 25, 50, 75, 95, 99]
@@ -78,16 +79,41 @@ def p8_fill(spark, d):
     return packing.fill(p8_packed(spark, d))
 
 
-def _measured(spark, d):
-    return tokens.with_tokens(_table(spark, d, "documents").select("doc_id", "source", "text"))
+def p8_checked(spark, d):
+    """Every text placed whole, none cut without need, no container overfull, no copies together."""
+    items = session.stage(_sized(spark, d), "sized")
+    sizes = _table(spark, d, "pack_sizes")
+    return packing.checked(session.stage(packing.pack(items, sizes), "packed"), items, sizes)
+
+
+def _rows(spark, d):
+    docs = tokens.with_tokens(_table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixing.used_rows(docs, _table(spark, d, "mix_targets"))
 
 
 def p9_mixed(spark, d):
-    return mixing.mix(_measured(spark, d), _table(spark, d, "mix_targets"))
+    rows = _rows(spark, d)
+    return mixing.mix(rows, mixing.budgets(rows, _table(spark, d, "mix_targets")))
+
+
+def _shares(spark, d, exact):
+    rows, targets = _rows(spark, d), _table(spark, d, "mix_targets")
+    budget = mixing.budgets(rows, targets, exact=exact)
+    return mixing.shares(mixing.mix(rows, budget), targets, budget)
 
 
 def p9_shares(spark, d):
-    return mixing.shares(p9_mixed(spark, d), _table(spark, d, "mix_targets"))
+    return _shares(spark, d, True)
+
+
+def p9_tempered(spark, d):
+    """What one exponent on the token shares gives, bisected to the entropy of the targets, without correction."""
+    return _shares(spark, d, False)
+
+
+def p9_checked(spark, d):
+    """Budgets met to less than a document, repeats within their limits."""
+    return p9_shares(spark, d).select("source", "target_share", "max_repeats", "met", "within_repeats")
 
 
 def _judged(spark, d):
@@ -112,7 +138,7 @@ def p10_kept(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_percentiles, p3_daily, p3_combined, p3_within_one_percent, p7_found, p7_top_titles, p7_top_items, p8_packed, p8_fill, p9_mixed, p9_shares,
+    p3_percentiles, p3_daily, p3_combined, p3_within_one_percent, p7_found, p7_top_titles, p7_top_items, p8_packed, p8_fill, p8_checked, p9_mixed, p9_shares, p9_tempered, p9_checked,
     p10_found, p10_kinds, p10_kept,
 )}
 
@@ -132,6 +158,9 @@ ORACLE = {
     "p3_daily": _percentile_sql(_ALL + ", day"),
     "p3_combined": _percentile_sql(_ALL),
     "p3_within_one_percent": f"select *, true as within_bound from ({_percentile_sql(_ALL)})",
+    "p8_checked": """select pack_name, capacity_tokens, count(distinct doc_id) as placed, cast(0 as bigint) as lost, cast(0 as bigint) as torn, cast(0 as bigint) as overfull,
+cast(0 as bigint) as clashes from documents, pack_sizes where text <> '' group by 1, 2""",
+    "p9_checked": "select source, target_share, max_repeats, true as met, true as within_repeats from mix_targets",
     "p7_found": """select 'title' as field, title as key_value from edits group by title having count(*) >= 0.006 * (select count(*) from edits)
 union all select 'qid', qid from propagation_records group by qid having count(*) >= 0.006 * (select count(*) from propagation_records)""",
     "p7_top_titles": _TOP.format("title", "edits"),

@@ -8,6 +8,7 @@ from editwake.llm import leftovers as L
 from editwake.llm import mixing, packing, quantiles, tokens, topk, wording
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 def exact(values, p):
@@ -186,41 +187,75 @@ def test_packing_places_every_token_once(spark, monkeypatch):
         packing.pack(items, caps.limit(0))
 
 
+def test_packing_is_checked(spark):
+    items = spark.createDataFrame([(1, 5, 7, "a"), (2, 5, 7, "a"), (3, 25, None, "b"), (3, 4, None, "b"), (4, 0, 1, "b"), (5, None, 1, None)], "doc_id bigint, tokens bigint, cluster bigint, source string")
+    sizes = spark.createDataFrame([("s", 10)], "pack_name string, capacity_tokens int")
+    packed = packing.pack(items, sizes)
+    assert [tuple(r) for r in packing.checked(packed, items, sizes).collect()] == [("s", 10, 3, 0, 0, 0, 0)]
+    bad = packed.where("doc_id <> 1").withColumn("bin", F.lit(1).cast("bigint"))
+    assert [tuple(r) for r in packing.checked(bad, items, sizes).collect()] == [("s", 10, 2, 1, 0, 1, 0)]
+
+
 def test_temperature_meets_an_entropy():
-    sizes = {"a": 900, "b": 90, "c": 10, "none": 0}
-    for target in (1.0, 0.6):
+    sizes = {"a": 0.9, "b": 0.09, "c": 0.01, "none": 0.0}
+    for target in (1.0, 0.6, 0.1):  # the natural shares have 0.36: more needs an exponent below 1, less one above
         e = mixing.exponent_for_entropy(sizes, target)
-        assert abs(mixing.entropy(mixing.tempered({s: n / 1_000 for s, n in sizes.items()}, e)) - target) < 1e-6
-    assert mixing.exponent_for_entropy(sizes, 0.01) == 1.0
+        assert abs(mixing.entropy(mixing.tempered(sizes, e)) - target) < 1e-6 and (e < 1) == (target > mixing.entropy(sizes))
     assert abs(mixing.exponent_for_entropy(sizes, math.log(3))) < 1e-6
 
 
+def test_exponent_keeps_a_repetition_limit():
+    shares = {"a": 0.9, "b": 0.09, "c": 0.01}
+    e = mixing.exponent_for_limits(shares, {"a": 1.0, "b": 0.3, "c": 0.05})
+    w = mixing.tempered(shares, e)
+    assert 0 < e < 1 and (abs(w["b"] - 0.3) < 1e-6 or abs(w["c"] - 0.05) < 1e-6) and w["b"] <= 0.3 + 1e-6 and w["c"] <= 0.05 + 1e-6
+    assert mixing.exponent_for_limits(shares, dict.fromkeys(shares, 1.0)) == 0 and mixing.exponent_for_limits(shares, dict.fromkeys(shares, 0.5)) is None
+
+
 def test_plan_stays_within_repeats():
     sizes, targets, repeats = {"a": 1_000, "b": 100}, {"a": 0.5, "b": 0.5, "gone": 0.2}, {"a": 1, "b": 3, "gone": 2}
     p = mixing.plan(sizes, targets, repeats)
     assert p["a"]["budget"] == p["b"]["budget"] == 300 and p["gone"]["budget"] == 0
-    tight = mixing.plan(sizes, targets, repeats, total=1_200)
+    tight = mixing.plan(sizes, targets, repeats, total=1_200, exact=False)
     assert 299 <= tight["b"]["budget"] <= 300 and 899 <= tight["a"]["budget"] <= 900 and 0 < tight["a"]["exponent"] < 1
+    assert mixing.plan(sizes, {}, repeats) == {} and mixing.plan({}, targets, repeats)["a"]["budget"] == 0
 
 
 def test_mix_reaches_shares_without_too_many_uses(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(mixing, "SUPER", 4)
     rng = random.Random(5)
     rows = [(i, rng.choices(["big", "small", "mid", None, "unlisted"], [60, 5, 25, 5, 5])[0], rng.choice([None, 0, 5, 20, 40]), "x") for i in range(2_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, use string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.3, 2), ("absent", 0.1, 4)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mix(docs, targets).cache()
-    got = {r.source: r for r in mixing.shares(mixed, targets).collect()}
-    assert got["absent"].reached_tokens == 0
+    used = mixing.used_rows(docs, targets)
+    budget = mixing.budgets(used, targets)
+    mixed = mixing.mix(used, budget).cache()
+    got = {r.source: r for r in mixing.shares(mixed, targets, budget).collect()}
+    assert got["absent"].reached_tokens == 0 and all(r.met and r.within_repeats for r in got.values())
     for s, t in (("big", 0.5), ("small", 0.2), ("mid", 0.3)):
         assert abs(got[s].reached_share - t) < 0.01
         assert got[s].most_uses <= got[s].max_repeats
-    uses = Counter((r.source, r.doc_id, r.use) for r in mixed.collect())
+    placed = mixed.collect()
+    uses = Counter((r.source, r.doc_id, r.use) for r in placed)
     assert max(uses.values()) == 1
     size = {r[0]: r[2] for r in rows}
-    assert all(r.tokens == size[r.doc_id] for r in mixed.collect())
-    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7), targets).collect()))
-    assert mixing.mix(docs.limit(0), targets).count() == 0
+    assert all(r.tokens == size[r.doc_id] for r in placed)
+    assert sorted(map(tuple, placed)) == sorted(map(tuple, mixing.mixed(docs.repartition(7), targets).collect()))
+    for s in ("big", "small", "mid"):  # positions are the running sums of a permutation, pass after pass
+        mine = sorted((r for r in placed if r.source == s), key=lambda r: r.position)
+        upto = 0
+        for r in mine:
+            assert abs(r.position - upto / budget[s]["budget"]) < 1e-9
+            upto += r.tokens
+        assert [r.use for r in mine] == sorted(r.use for r in mine)
+    half = Counter()
+    for r in placed:
+        half[r.source] += r.tokens if r.position < 0.5 else 0
+    assert all(abs(half[s] / sum(half.values()) - got[s].reached_share) < 0.03 for s in half)
+    first, second = ([r.doc_id for r in sorted((x for x in placed if x.source == "small" and x.use == u), key=lambda r: r.position)] for u in (1, 2))
+    assert sorted(first) == sorted(second) and first != second
+    assert mixing.mixed(docs.limit(0), targets).count() == 0
 
 
 def test_tokens_of_whole_texts(spark):
