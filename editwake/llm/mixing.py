@@ -44,12 +44,20 @@ def exponent_for_entropy(shares: dict[str, float], target: float, most: float =
     return bisected(lambda e: entropy(tempered(shares, e)) >= target - 1e-12, 0.0, most)
 
 
-def exponent_for_limits(shares: dict[str, float], most_share: dict[str, float]) -> float | None:
-    """The least exponent in 0..1 at which no source gets more than its greatest share; None where even 1 is too little."""
+def exponent_for_limits(shares: dict[str, float], most_share: dict[str, float], near: float = 0.0, most: float = 8.0, steps: int = 800) -> float | None:
+    """The exponent in 0..most nearest to `near` at which no source gets more than its greatest share; None where there is none.
+
+    A higher exponent takes from small sources and gives to large ones, so both ends may break a limit: the nearest good
+    point of a grid is found, and the border between it and the point before by bisection.
+    """
     within = lambda e: all(w <= most_share[s] + 1e-9 for s, w in tempered(shares, e).items())
-    if not within(1.0):
+    if within(near):
+        return near
+    good = next((e for e in sorted((most * k / steps for k in range(steps + 1)), key=lambda e: (abs(e - near), e)) if within(e)), None)
+    if good is None:
         return None
-    return 0.0 if within(0.0) else 1.0 - bisected(lambda d: within(1.0 - d), 0.0, 1.0)
+    away = min(most / steps, abs(good - near)) * (1 if near > good else -1)
+    return good + away * bisected(lambda x: within(good + away * x), 0.0, 1.0)
 
 
 def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: int | None = None, exact: bool = True) -> dict[str, dict]:
@@ -57,7 +65,7 @@ def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, in
 
     Temperature: the token shares of the sources are raised to an exponent, bisected until the weights have the entropy of
     the target shares. Where `total` tokens would then take a source beyond its repeats, the exponent is bisected again, to
-    the least one within all limits. One exponent can't meet many targets: with `exact` each weight is then corrected by
+    the nearest one within all limits. One exponent can't meet many targets: with `exact` each weight is then corrected by
     the factor that takes it to its target, as far as the repeats go, so that the targets are met; without, the tempered
     weights are the weights. Without a total the largest one is taken at which the weights stay within every limit. A
     source without tokens can't take part: its target is spread over the others in proportion, its budget is 0.
@@ -73,8 +81,8 @@ def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, in
     exponent = exponent_for_entropy(natural, entropy(aim))
     weights = tempered(natural, exponent)
     if total is not None and any(weights[s] * total > most[s] * (1 + 1e-9) for s in there):
-        least = exponent_for_limits(natural, {s: most[s] / total for s in there})
-        exponent = 1.0 if least is None else least
+        nearest = exponent_for_limits(natural, {s: most[s] / total for s in there}, exponent)
+        exponent = 1.0 if nearest is None else nearest
         weights = tempered(natural, exponent)
     mild = weights
     if exact:

@@ -209,7 +209,7 @@ def test_exponent_keeps_a_repetition_limit():
     e = mixing.exponent_for_limits(shares, {"a": 1.0, "b": 0.3, "c": 0.05})
     w = mixing.tempered(shares, e)
     assert 0 < e < 1 and (abs(w["b"] - 0.3) < 1e-6 or abs(w["c"] - 0.05) < 1e-6) and w["b"] <= 0.3 + 1e-6 and w["c"] <= 0.05 + 1e-6
-    assert mixing.exponent_for_limits(shares, dict.fromkeys(shares, 1.0)) == 0 and mixing.exponent_for_limits(shares, dict.fromkeys(shares, 0.5)) is None
+    assert mixing.exponent_for_limits(shares, dict.fromkeys(shares, 1.0)) == 0 and mixing.exponent_for_limits(shares, dict.fromkeys(shares, 0.3)) is None
 
 
 def test_plan_stays_within_repeats():
