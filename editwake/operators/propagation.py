@@ -7,20 +7,24 @@ between the two are late. Here all of that is worked out from sets:
 
 * the processing order of a reordering buffer has a closed form (`processing_order`);
 * the closing time is the next clock value at or after a bound, looked up once per distinct second;
-* an item's openers are a fold over its distinct clock values, not over its edits;
-* edits find their window in their item's short list of openers, and all figures come from sums per item, window and edition.
+* an item's openers are found in its distinct clock values, not in its edits, by hops from one opener to the next;
+* edits find their window by item and stretch of time, and all figures come from sums per item, window and edition.
 
-A group is never larger than the seconds of the archive, and only for the fold; no row-level window runs per item.
+An item's distinct seconds pass one task as a sorted stream; nothing else brings an item together, however many its edits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editwake import session
 from editwake.config import DEFAULT, Propagation
-from editwake.functions.columns import nearest_rank_of, rate
+from editwake.functions.columns import bucket, nearest_rank_of, rate
 from editwake.operators.progress import next_at_or_after, running
 
 COLUMNS = ["qid", "wiki", "title", "ts", "bot", "user_name", "seq"]
@@ -64,8 +68,63 @@ def _position() -> Column:
     return F.struct(*_POSITION)
 
 
+_OPENER = "qid string, released bigint, ts bigint, seq bigint, upto bigint, bound bigint, closed_at bigint"
+
+
+def _hops(horizon: int):
+    """Over rows sorted by (qid, upto): those that open a window, from one opener to the next by a search.
+
+    A task holds an Arrow batch and, from batch to batch, the item and the time from which its next edit opens a window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, free_from = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = batch.column(0)
+            codes = names.dictionary_encode().indices.to_numpy()
+            upto = batch.column(4).to_numpy()
+            open_ended = batch.column(6).is_null().to_numpy(zero_copy_only=False)
+            frees = batch.column(6).fill_null(0).to_numpy() + horizon  # from here on, the next edit opens a window
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = np.r_[starts[1:], n]
+            chosen = np.zeros(n, bool)
+            chosen[starts] = True
+            first_name = names[0].as_py()
+            again = (~open_ended[starts] & (upto[ends - 1] >= frees[starts])).tolist()
+            if first_name == carried:
+                chosen[0], again[0] = False, True
+            for s, e, more in zip(starts.tolist(), ends.tolist(), again, strict=True):
+                if not more:
+                    continue
+                if s == 0 and first_name == carried:
+                    at = e if free_from is None else int(np.searchsorted(upto[:e], free_from))
+                else:
+                    at = s
+                while at < e:
+                    chosen[at] = True
+                    if open_ended[at]:
+                        break
+                    at += 1 + int(np.searchsorted(upto[at + 1 : e], frees[at]))
+            last = np.flatnonzero(chosen[starts[-1] :])
+            if len(last):
+                k = int(starts[-1] + last[-1])
+                free_from = None if open_ended[k] else int(frees[k])
+            carried = names[n - 1].as_py()
+            yield batch.filter(pa.array(chosen))
+
+    return run
+
+
 def _openers(ordered: DataFrame, p: Propagation, held_back: DataFrame | None) -> DataFrame:
-    """(qid, openers): position, opened_at, bound (closing needs upto >= bound) and closed_at of each window of an item."""
+    """A row per window: position of the opener, its upto, bound (closing needs upto >= bound) and closed_at.
+
+    An item's distinct clock seconds, not its edits, are sorted in one task, which goes through them as a stream: its
+    memory doesn't depend on the item.
+    """
+    session.ship(ordered.sparkSession)
     firsts = ordered.groupBy("qid", "upto").agg(F.min(_position()).alias("at"))
     held = F.col("at.ts")
     if held_back is not None:
@@ -74,49 +133,42 @@ def _openers(ordered: DataFrame, p: Propagation, held_back: DataFrame | None) ->
     firsts = firsts.withColumn("bound", held + p.watermark)
     clock = ordered.select("upto").distinct()
     closing = next_at_or_after(clock, "upto", firsts.select("bound").distinct(), "bound", "closed_at")
-    known = firsts.join(closing, "bound", "left")
-    item = F.struct("at", "upto", "bound", "closed_at")
-    found = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.expr("cast(array() as array<struct<at:struct<released:bigint,ts:bigint,seq:bigint>,upto:bigint,bound:bigint,closed_at:bigint>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x["upto"] >= F.element_at(acc, F.lit(-1))["closed_at"] + p.horizon), F.concat(acc, F.array(x))
-        ).otherwise(acc),
-    )
-    return known.groupBy("qid").agg(found.alias("openers"))
+    known = firsts.join(closing, "bound", "left").select("qid", "at.released", "at.ts", "at.seq", "upto", "bound", "closed_at")
+    return known.repartition("qid").sortWithinPartitions("qid", "upto").mapInArrow(_hops(p.horizon), _OPENER)
 
 
-def assign(ordered: DataFrame, p: Propagation = DEFAULT.propagation, most_rounds: int = 50) -> DataFrame:
+def assign(ordered: DataFrame, p: Propagation = DEFAULT.propagation) -> DataFrame:
     """Each edit with its window: opened_at, window (arrival number of the opener), bound, closed_at, and late.
 
     A window whose opener came out of order waits for the windows opened before it, so its bound depends on the openers
-    before it. That is settled by repeating the fold with the openers of the round before until they stay the same; every
-    round settles at least one more watermark of time, and a stream without such openers needs no repetition.
+    before it. That is settled by finding the openers again with those of the round before until they stay the same;
+    every round settles at least one more watermark of time, and a stream without such openers needs no repetition.
+
+    Edits meet windows by item and stretch of time, so that an item with very many edits is spread over many tasks: a
+    window belongs to the few stretches from its opening until it is forgotten, and no two of an item overlap.
     """
-    held_back = None
     openers = session.stage(_openers(ordered, p, None), "openers")
     behind = ordered.where("ts < upto")
-    if not behind.isEmpty():
-        for _ in range(most_rounds):
-            flat = openers.select("qid", F.explode("openers").alias("o")).select("o.at.*", "o.bound")
-            both = flat.select("released", "ts", "seq", F.col("ts").alias("opened"), F.lit(None).cast("bigint").alias("held_seq")).unionByName(
-                behind.select(*_POSITION, F.lit(None).cast("bigint").alias("opened"), F.col("seq").alias("held_seq"))
-            )
-            # Openers released together are in order of time, so those before in the same release matter only up to the edit's own time.
-            held_back = running(both, "released", "opened", "held").where("held_seq is not null").select("held_seq", "held")
-            again = session.stage(_openers(ordered, p, held_back), "openers")
-            same = again.join(openers.withColumnRenamed("openers", "were"), "qid").where(~F.col("openers").eqNullSafe(F.col("were"))).isEmpty()
-            openers = again
-            if same:
-                break
-        else:
-            raise RuntimeError("the windows did not settle")
-    mine = F.element_at(F.filter("openers", lambda o: o["at"] <= _position()), -1)
-    joined = ordered.join(openers, "qid").withColumn("w", mine).drop("openers")
-    return joined.select(
-        *ordered.columns, F.col("w.at.ts").alias("opened_at"), F.col("w.at.seq").alias("window"), "w.bound", "w.closed_at",
-        (F.col("upto") >= F.col("w.bound")).alias("late"),
-    )
+    while not behind.isEmpty():
+        flat = openers.select("released", "ts", "seq", F.col("ts").alias("opened"), F.lit(None).cast("bigint").alias("held_seq"))
+        both = flat.unionByName(behind.select(*_POSITION, F.lit(None).cast("bigint").alias("opened"), F.col("seq").alias("held_seq")))
+        # Openers released together are in order of time, so those before in the same release matter only up to the edit's own time.
+        held_back = running(both, "released", "opened", "held").where("held_seq is not null").select("held_seq", "held")
+        again = session.stage(_openers(ordered, p, held_back), "openers")
+        same = again.exceptAll(openers).isEmpty() and openers.exceptAll(again).isEmpty()
+        openers = again
+        if same:
+            break
+    stretch = (p.watermark + p.horizon + 1) // 2
+    last = ordered.agg(F.max("upto").alias("_ew_last"))
+    until = F.greatest(F.coalesce(F.col("closed_at") + p.horizon, F.col("_ew_last") + 1), F.col("o_upto") + 1)
+    spans = openers.select(
+        F.col("qid").alias("o_qid"), F.col("upto").alias("o_upto"), F.col("ts").alias("opened_at"), F.col("seq").alias("window"), "bound", "closed_at"
+    ).crossJoin(F.broadcast(last)).withColumn("until", until)  # one row
+    spans = spans.withColumn("o_stretch", F.explode(F.sequence(bucket(F.col("o_upto"), stretch), bucket(F.col("until") - 1, stretch)))).drop("_ew_last")
+    placed = ordered.withColumn("stretch", bucket(F.col("upto"), stretch))
+    mine = (F.col("qid") == F.col("o_qid")) & (F.col("stretch") == F.col("o_stretch")) & (F.col("upto") >= F.col("o_upto")) & (F.col("upto") < F.col("until"))
+    return placed.join(spans, mine).select(*ordered.columns, "opened_at", "window", "bound", "closed_at", (F.col("upto") >= F.col("bound")).alias("late"))
 
 
 def cells(assigned: DataFrame) -> DataFrame:
