@@ -6,7 +6,7 @@ remembered until upto reaches the closing time + horizon, and the item's next ed
 between the two are late. Here all of that is worked out from sets:
 
 * the processing order of a reordering buffer has a closed form (`processing_order`);
-* the closing time is the next clock value at or after a bound, looked up once per distinct second;
+* the closing time is the next clock value at or after a bound, looked up in a bitmap of the clock's seconds;
 * an item's openers are found in its distinct clock values, not in its edits, by hops from one opener to the next;
 * edits find their window by item and stretch of time, and all figures come from sums per item, window and edition.
 
@@ -68,13 +68,54 @@ def _position() -> Column:
     return F.struct(*_POSITION)
 
 
+#: Seconds in a row of the clock's bitmap, and the longest span of seconds that is broadcast as one (32 MB, 8 years).
+_BITS, _LONGEST = 1 << 15, 1 << 28
+
+
+class Clock:
+    """The seconds at which the clock stood, as a bitmap, and the next of them at or after a bound."""
+
+    def __init__(self, first: int, bits: np.ndarray) -> None:
+        self.first, self.bits = first, bits
+        filled = np.where(bits != 0, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
+        self.next_byte = np.r_[np.minimum.accumulate(filled[::-1])[::-1], np.int32(len(bits)), np.int32(len(bits))]
+        self.last = first + len(bits) * 8
+
+    def at_or_after(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next second of the clock per bound, and whether there is none."""
+        offset = np.clip(bounds - self.first, 0, len(self.bits) * 8)
+        at = offset >> 3
+        padded = np.r_[self.bits, np.zeros(2, np.uint8)]
+        here = padded[at] & (np.uint8(0xFF) << (offset & 7).astype(np.uint8))
+        after = self.next_byte[np.minimum(at + 1, len(self.bits))]
+        byte = np.where(here != 0, at, after)
+        value = np.where(here != 0, here, padded[byte]).astype(np.int64)
+        lowest = np.log2(np.maximum(value & -value, 1)).astype(np.int64)
+        return self.first + byte * 8 + lowest, value == 0
+
+
+def clock_of(ordered: DataFrame) -> Clock | None:
+    """The bitmap of all clock seconds: its size is the time that the stream covers, not its edits. None beyond _LONGEST."""
+    low, high = ordered.agg(F.min("upto"), F.max("upto")).first()
+    if low is None or high - low > _LONGEST:
+        return None
+    rows = ordered.groupBy(bucket(F.col("upto"), _BITS).alias("k")).agg(F.bitmap_construct_agg(F.pmod("upto", F.lit(_BITS))).alias("b")).collect()
+    first, size = low // _BITS, _BITS // 8
+    bits = np.zeros((high // _BITS - first + 1) * size, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.b), np.uint8)
+        bits[(r.k - first) * size : (r.k - first) * size + len(part)] = part
+    return Clock(first * _BITS, bits)
+
+
 _OPENER = "qid string, released bigint, ts bigint, seq bigint, upto bigint, bound bigint, closed_at bigint"
 
 
-def _hops(horizon: int):
+def _hops(horizon: int, clock: Clock | None):
     """Over rows sorted by (qid, upto): those that open a window, from one opener to the next by a search.
 
     A task holds an Arrow batch and, from batch to batch, the item and the time from which its next edit opens a window.
+    closed_at is looked up in the clock if it is given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +124,9 @@ def _hops(horizon: int):
             n = batch.num_rows
             if not n:
                 continue
+            if clock is not None:
+                closed, never = clock.at_or_after(batch.column(5).to_numpy())
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(closed, pa.int64(), mask=never)], names=batch.schema.names)
             names = batch.column(0)
             codes = names.dictionary_encode().indices.to_numpy()
             upto = batch.column(4).to_numpy()
@@ -118,7 +162,7 @@ def _hops(horizon: int):
     return run
 
 
-def _openers(ordered: DataFrame, p: Propagation, held_back: DataFrame | None) -> DataFrame:
+def _openers(ordered: DataFrame, p: Propagation, held_back: DataFrame | None, seconds: Clock | None) -> DataFrame:
     """A row per window: position of the opener, its upto, bound (closing needs upto >= bound) and closed_at.
 
     An item's distinct clock seconds, not its edits, are sorted in one task, which goes through them as a stream: its
@@ -131,10 +175,13 @@ def _openers(ordered: DataFrame, p: Propagation, held_back: DataFrame | None) ->
         firsts = firsts.join(held_back, F.col("at.seq") == F.col("held_seq"), "left").drop("held_seq")
         held = F.greatest(F.col("at.ts"), F.col("held"))
     firsts = firsts.withColumn("bound", held + p.watermark)
-    clock = ordered.select("upto").distinct()
-    closing = next_at_or_after(clock, "upto", firsts.select("bound").distinct(), "bound", "closed_at")
-    known = firsts.join(closing, "bound", "left").select("qid", "at.released", "at.ts", "at.seq", "upto", "bound", "closed_at")
-    return known.repartition("qid").sortWithinPartitions("qid", "upto").mapInArrow(_hops(p.horizon), _OPENER)
+    if seconds is None:
+        closing = next_at_or_after(ordered.select("upto").distinct(), "upto", firsts.select("bound").distinct(), "bound", "closed_at")
+        firsts = firsts.join(closing, "bound", "left")
+    else:
+        firsts = firsts.withColumn("closed_at", F.lit(None).cast("bigint"))
+    known = firsts.select("qid", "at.released", "at.ts", "at.seq", "upto", "bound", "closed_at")
+    return known.repartition("qid").sortWithinPartitions("qid", "upto").mapInArrow(_hops(p.horizon, seconds), _OPENER)
 
 
 def assign(ordered: DataFrame, p: Propagation = DEFAULT.propagation) -> DataFrame:
@@ -147,14 +194,15 @@ def assign(ordered: DataFrame, p: Propagation = DEFAULT.propagation) -> DataFram
     Edits meet windows by item and stretch of time, so that an item with very many edits is spread over many tasks: a
     window belongs to the few stretches from its opening until it is forgotten, and no two of an item overlap.
     """
-    openers = session.stage(_openers(ordered, p, None), "openers")
+    seconds = clock_of(ordered)
+    openers = session.stage(_openers(ordered, p, None, seconds), "openers")
     behind = ordered.where("ts < upto")
     while not behind.isEmpty():
         flat = openers.select("released", "ts", "seq", F.col("ts").alias("opened"), F.lit(None).cast("bigint").alias("held_seq"))
         both = flat.unionByName(behind.select(*_POSITION, F.lit(None).cast("bigint").alias("opened"), F.col("seq").alias("held_seq")))
         # Openers released together are in order of time, so those before in the same release matter only up to the edit's own time.
         held_back = running(both, "released", "opened", "held").where("held_seq is not null").select("held_seq", "held")
-        again = session.stage(_openers(ordered, p, held_back), "openers")
+        again = session.stage(_openers(ordered, p, held_back, seconds), "openers")
         same = again.exceptAll(openers).isEmpty() and openers.exceptAll(again).isEmpty()
         openers = again
         if same:
@@ -187,7 +235,7 @@ def propagation_cells(edits: DataFrame, p: Propagation = DEFAULT.propagation, in
 
     Staged, with the warm-up flag. Edits without an item, time or arrival number take no part.
     """
-    used = with_item(edits)
+    used = session.stage(with_item(edits), "edits")  # read several times
     ordered = in_time_order(used) if in_order else processing_order(used, p.reorder)
     found = cells(assign(ordered, p))
     if in_order:
