@@ -15,6 +15,7 @@ from editwake.operators import propagation as G
 from editwake.operators import resolve as R
 from editwake.operators import triage as T
 from editwake.sources import gzip_lines, sse
+from editwake.sources.lookup import HttpClient
 from editwake.streaming import archive as A
 
 log = logging.getLogger("editwake")
@@ -34,7 +35,10 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--url", required=True)
     a.add_argument("--checkpoint", default="data/checkpoint")
     a.add_argument("--max-events", type=int)
-    for name in ("stats", "resolve", "join", "profile"):
+    r = sub.add_parser("resolve")
+    r.add_argument("--url", help="lookup service for pages the snapshot doesn't know; without it nothing is asked")
+    r.add_argument("--agent", default="editwake")
+    for name in ("stats", "join", "profile"):
         sub.add_parser(name)
     for name, last in (("pairs", "evaluate"), ("failures", "summarise")):
         q = sub.add_parser(name)
@@ -58,32 +62,58 @@ class Run:
         return gzip_lines.read_archive(self.spark, self.args.archive, self.args.pattern)
 
     def snapshot(self):
-        return self.spark.read.parquet(self.args.snapshot)
-
-    def edits(self):
+        """The last version that a lookup made, else the folder given, else an empty snapshot."""
+        made = session.published(self.spark, f"{self.args.snapshot}.versions")
+        path = f"{self.args.snapshot}.versions/v{made[0]}" if made else self.args.snapshot
+        if not made and not session.exists(self.spark, path):
+            return self.spark.createDataFrame([], R.SNAPSHOT)
+        return self.spark.read.parquet(path)
+
+    def keep_snapshot(self, after) -> None:
+        folder = f"{self.args.snapshot}.versions"
+        number = (session.published(self.spark, folder) or (0, ""))[0] + 1
+        session.remove(self.spark, f"{folder}/v{number}")
+        after.write.parquet(f"{folder}/v{number}")
+        session.publish(self.spark, folder, number, "")
+        session.remove(self.spark, f"{folder}/v{number - 2}")
+
+    def unresolved_edits(self):
         kept = session.stage(E.kept(self.lines(), self.config.filters), "kept")
         numbered = P.positioned(kept, ["file", "line_no"], "seq")
-        return session.stage(R.resolved(E.unique(numbered, ["seq"]), self.snapshot()), "edits")
+        return session.stage(E.unique_recent(numbered, "seq", self.config.filters.dedupe_window), "unique")
+
+    def edits(self):
+        return session.stage(R.resolved(self.unresolved_edits(), self.snapshot()), "edits")
 
     def save(self, name: str, **payload) -> None:
         log.info("result written", extra={"path": str(sinks.write_result(self.args.results, name, payload))})
 
     def archive(self) -> None:
         self.spark.dataSource.register(sse.EventFeed)
-        feed = self.spark.readStream.format("event_feed").option("url", self.args.url)
+        a = self.config.archive
+        feed = self.spark.readStream.format("event_feed").option("url", self.args.url).option("timeout", a.read_timeout)
+        feed = feed.option("first_wait", a.reconnect_first).option("most_wait", a.reconnect_most)
         if self.args.max_events:
             feed = feed.option("most", self.args.max_events)
         A.archive(sse.is_message(feed.load()), self.args.archive, self.args.checkpoint, self.config.filters, once=bool(self.args.max_events)).awaitTermination()
 
     def stats(self) -> None:
         lines = session.stage(self.lines(), "lines")
-        gaps = sinks.as_document(E.minute_gaps(lines).orderBy("gap_start"))
-        gaps = gaps if isinstance(gaps, list) else [gaps]
-        self.save("archive", **sinks.as_document(E.coverage(lines)), gaps=gaps, gap_minutes=sum(g["minutes"] for g in gaps))
+        gaps = session.stage(E.minute_gaps(lines), "gaps")
+        gaps.write.mode("overwrite").parquet(f"{self.args.results}/gaps.parquet")  # all of them; the document has the longest
+        total = gaps.agg(F.count(F.lit(1)).alias("gap_count"), F.coalesce(F.sum("minutes"), F.lit(0)).alias("gap_minutes"))
+        longest = [r.asDict() for r in gaps.orderBy(F.desc("minutes"), "gap_start").limit(3).collect()]
+        self.save("archive", **sinks.as_document(E.coverage(lines)), **sinks.as_document(total), gaps=longest)
 
     def resolve(self) -> None:
+        asked = {}
+        if self.args.url:
+            url, agent = self.args.url, self.args.agent
+            _, after, answers = R.online(self.unresolved_edits(), self.snapshot(), lambda: HttpClient(url, agent), self.config.resolution)
+            asked = sinks.as_document(answers.agg(F.count(F.lit(1)).alias("pages_asked"), F.count("qid").alias("pages_found")))
+            self.keep_snapshot(after)
         edits = self.edits()
-        self.save("resolve", **sinks.as_document(R.counters(edits, self.snapshot(), self.config.resolution.block)), **sinks.as_document(R.with_item_rate(edits)))
+        self.save("resolve", **asked, **sinks.as_document(R.counters(edits, self.snapshot(), self.config.resolution.block)), **sinks.as_document(R.with_item_rate(edits)))
 
     def join(self) -> None:
         p = self.config.propagation

@@ -66,7 +66,6 @@ class Labels:
 
 @dataclass(frozen=True)
 class Archive:
-    hour_format: str = "yyyy-MM-dd-HH"
     reconnect_first: float = 1.0
     reconnect_most: float = 60.0
     read_timeout: float = 60.0

@@ -8,17 +8,17 @@ PENDING = "_pending_"
 
 
 def number(value: float | None, digits: int = 0) -> str:
-    return PENDING if value is None else f"{value:,.{digits}f}"
+    return "-" if value is None else f"{value:,.{digits}f}"
 
 
 def percent(part: float | None, digits: int = 1) -> str:
-    return PENDING if part is None else f"{part * 100:.{digits}f} %"
+    return "-" if part is None else f"{part * 100:.{digits}f}%"
 
 
 def duration(seconds: float | None) -> str:
     """Seconds below a minute and a half, minutes and seconds below an hour and a half, else hours and minutes."""
     if seconds is None:
-        return PENDING
+        return "-"
     sign, whole = ("-" if seconds < 0 else ""), abs(round(seconds))
     if whole < 90:
         return f"{sign}{whole}s"

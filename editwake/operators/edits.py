@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from editwake import session
 from editwake.config import DEFAULT, Filters
+from editwake.operators.progress import OPENER, hops, running
 
 _END = "_ew_end_of_line"
 _BARE = r"([:,\[]\s*)-?(?:NaN|Infinity)(?=\s*[,}\]])"
@@ -108,6 +110,35 @@ def unique(edits: DataFrame, order: list[str], identifier: str = "event_id") ->
     return named.unionByName(edits.where(F.col(identifier).isNull()))
 
 
+def unique_recent(edits: DataFrame, order: str = "seq", capacity: int = DEFAULT.filters.dedupe_window, identifier: str = "event_id") -> DataFrame:
+    """Edits without repeats, by a bounded memory: an identifier is forgotten once `capacity` others were kept after it.
+
+    A hit doesn't refresh the memory; an edit whose identifier was forgotten is kept and remembered anew. How many were kept
+    before a row depends on the rows before it, so flags are worked out again until they stay the same, starting from an
+    unbounded memory; a round settles the first flag that was wrong at least, and only identifiers that repeat take part.
+    An identifier's repeats pass one task as a sorted stream. `order` is unique; rows without identifier or order stay.
+    """
+    known = F.col(identifier).isNotNull() & F.col(order).isNotNull()
+    rows = session.stage(edits.where(known).select(F.col(identifier).cast("string").alias("id"), F.col(order).cast("bigint").alias("seq")), "recent")
+    often = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    ranked = running(rows.withColumn("one", F.lit(1).cast("bigint")), "seq", "one", "rank", "sum").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    again = session.stage(ranked.join(often, "id", "left_semi").select("id", "seq", "rank"), "recent-again")
+    nothing = F.lit(None).cast("bigint")
+    gone = again.join(again.groupBy("id").agg(F.min("seq").alias("seq")), ["id", "seq"], "left_anti").select("seq")
+    gone = session.stage(gone, "recent-gone")
+    while not gone.isEmpty():
+        marked = again.join(gone.withColumn("gone", F.lit(1).cast("bigint")), "seq", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+        counted = running(marked, "seq", "gone", "before", "sum").withColumn("kept", F.col("rank") - F.coalesce("before", F.lit(0)))
+        asked = counted.select(F.col("id").alias("qid"), nothing.alias("released"), nothing.alias("ts"), "seq", F.col("kept").alias("upto"), nothing.alias("bound"), F.col("kept").alias("closed_at"))
+        kept = asked.repartition("qid").sortWithinPartitions("qid", "upto", "seq").mapInArrow(hops(capacity + 1), OPENER)
+        now = session.stage(again.join(kept.select("seq"), "seq", "left_anti").select("seq"), "recent-gone")
+        same = now.exceptAll(gone).isEmpty() and gone.exceptAll(now).isEmpty()
+        gone = now
+        if same:
+            break
+    return edits.where(known).join(gone.select(F.col("seq").alias(order)), order, "left_anti").select(edits.columns).unionByName(edits.where(~known))
+
+
 def accounting(lines: DataFrame, filters: Filters = DEFAULT.filters) -> DataFrame:
     """(outcome, events): undecodable, malformed, wiki, namespace, type:<t>, duplicate, kept."""
     rows = decoded(lines).agg(F.count(F.when(F.col("v").isNull(), 1)).alias("events")).select(F.lit("undecodable").alias("outcome"), "events")
@@ -156,13 +187,10 @@ def coverage(lines: DataFrame) -> DataFrame:
 def minute_gaps(lines: DataFrame) -> DataFrame:
     """Whole minutes without any event between two that have some: (gap_start, gap_end, minutes), seconds since 1970.
 
-    The window runs over distinct minutes, half a million a year whatever the number of events.
+    The minute before is a running maximum over distinct minutes, whatever the number of events.
     """
-    from pyspark.sql import Window
-
     seconds = F.unix_timestamp(F.date_trunc("minute", stream_time()))
     minutes = decoded(lines).select(seconds.alias("m")).where("m is not null").distinct()
-    before = F.lag("m").over(Window.orderBy("m"))
-    return minutes.withColumn("p", before).where("m - p > 60").select(
+    return running(minutes, "m", "m", "p", "max").where("m - p > 60").select(
         (F.col("p") + 60).alias("gap_start"), (F.col("m") - 60).alias("gap_end"), (((F.col("m") - F.col("p")) / 60).cast("bigint") - 1).alias("minutes")
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +59,97 @@ def next_at_or_after(points: DataFrame, point: str, probes: DataFrame, probe: st
         .where("_ew_point is null and _ew_at is not null")
         .select((-F.col("_ew_at")).alias(probe), out)
     )
+
+
+#: Seconds in a row of the clock's bitmap, and the longest span of seconds that is broadcast as one (32 MB, 8 years).
+BITS, LONGEST = 1 << 15, 1 << 28
+
+
+class Clock:
+    """The seconds at which the clock stood, as a bitmap, and the next of them at or after a bound."""
+
+    def __init__(self, first: int, bits: np.ndarray) -> None:
+        self.first, self.bits = first, bits
+        filled = np.where(bits != 0, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
+        self.next_byte = np.r_[np.minimum.accumulate(filled[::-1])[::-1], np.int32(len(bits)), np.int32(len(bits))]
+        self.last = first + len(bits) * 8
+
+    def at_or_after(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next second of the clock per bound, and whether there is none."""
+        offset = np.clip(bounds - self.first, 0, len(self.bits) * 8)
+        at = offset >> 3
+        padded = np.r_[self.bits, np.zeros(2, np.uint8)]
+        here = padded[at] & (np.uint8(0xFF) << (offset & 7).astype(np.uint8))
+        after = self.next_byte[np.minimum(at + 1, len(self.bits))]
+        byte = np.where(here != 0, at, after)
+        value = np.where(here != 0, here, padded[byte]).astype(np.int64)
+        lowest = np.log2(np.maximum(value & -value, 1)).astype(np.int64)
+        return self.first + byte * 8 + lowest, value == 0
+
+
+def clock_of(ordered: DataFrame) -> Clock | None:
+    """The bitmap of all clock seconds: its size is the time that the stream covers, not its edits. None beyond LONGEST."""
+    low, high = ordered.agg(F.min("upto"), F.max("upto")).first()
+    if low is None or high - low > LONGEST:
+        return None
+    rows = ordered.groupBy(bucket(F.col("upto"), BITS).alias("k")).agg(F.bitmap_construct_agg(F.pmod("upto", F.lit(BITS))).alias("b")).collect()
+    first, size = low // BITS, BITS // 8
+    bits = np.zeros((high // BITS - first + 1) * size, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.b), np.uint8)
+        bits[(r.k - first) * size : (r.k - first) * size + len(part)] = part
+    return Clock(first * BITS, bits)
+
+
+OPENER = "qid string, released bigint, ts bigint, seq bigint, upto bigint, bound bigint, closed_at bigint"
+
+
+def hops(horizon: int, clock: Clock | None = None):
+    """Over rows sorted by (qid, upto): those that open a window, from one opener to the next by a search.
+
+    A task holds an Arrow batch and, from batch to batch, the item and the time from which its next edit opens a window.
+    closed_at is looked up in the clock if it is given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, free_from = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if clock is not None:
+                closed, never = clock.at_or_after(batch.column(5).to_numpy())
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(closed, pa.int64(), mask=never)], names=batch.schema.names)
+            names = batch.column(0)
+            codes = names.dictionary_encode().indices.to_numpy()
+            upto = batch.column(4).to_numpy()
+            open_ended = batch.column(6).is_null().to_numpy(zero_copy_only=False)
+            frees = batch.column(6).fill_null(0).to_numpy() + horizon  # from here on, the next edit opens a window
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = np.r_[starts[1:], n]
+            chosen = np.zeros(n, bool)
+            chosen[starts] = True
+            first_name = names[0].as_py()
+            again = (~open_ended[starts] & (upto[ends - 1] >= frees[starts])).tolist()
+            if first_name == carried:
+                chosen[0], again[0] = False, True
+            for s, e, more in zip(starts.tolist(), ends.tolist(), again, strict=True):
+                if not more:
+                    continue
+                if s == 0 and first_name == carried:
+                    at = e if free_from is None else int(np.searchsorted(upto[:e], free_from))
+                else:
+                    at = s
+                while at < e:
+                    chosen[at] = True
+                    if open_ended[at]:
+                        break
+                    at += 1 + int(np.searchsorted(upto[at + 1 : e], frees[at]))
+            last = np.flatnonzero(chosen[starts[-1] :])
+            if len(last):
+                k = int(starts[-1] + last[-1])
+                free_from = None if open_ended[k] else int(frees[k])
+            carried = names[n - 1].as_py()
+            yield batch.filter(pa.array(chosen))
+
+    return run

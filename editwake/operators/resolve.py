@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwake.config import DEFAULT
+from editwake import session
+from editwake.config import DEFAULT, Resolution
 from editwake.functions.columns import bucket, rate
 from editwake.operators.progress import running
+from editwake.sources.lookup import look_up
 
 PAGE = ["wiki", "title"]
 
@@ -36,6 +38,20 @@ def upsert(snapshot: DataFrame, new: DataFrame) -> DataFrame:
     return last.select(*PAGE, "last.qid")
 
 
+SNAPSHOT = "wiki string, title string, qid string"
+
+
+def online(edits: DataFrame, snapshot: DataFrame, make_client, settings: Resolution = DEFAULT.resolution) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edits resolved, the snapshot after it, and what was looked up: pages that the snapshot doesn't know are asked for once.
+
+    Answers (an item, or none) go into the snapshot; pages whose lookup failed for good don't, so they are asked for again
+    next time and stay unknown for now. A page without wiki or title is never asked for.
+    """
+    answers = session.stage(look_up(unresolved(edits, snapshot), make_client, settings), "answers")
+    after = session.stage(upsert(snapshot, answers), "snapshot")
+    return resolved(edits, after), after, answers
+
+
 def counters(edits: DataFrame, snapshot: DataFrame, block: int = DEFAULT.resolution.block) -> DataFrame:
     """One row: how a cache in front of the snapshot would have been used, had the edits come in blocks in order of seq.
 

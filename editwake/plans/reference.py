@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from editwake import session
+from editwake import config, session
 from editwake.operators import edits as E
 from editwake.operators import pairs as P
 from editwake.operators import propagation as G
@@ -13,6 +13,9 @@ from editwake.operators import triage as T
 from editwake.plans.problems import table
 
 
+DIGESTED = ["qid", "rank", "leader_wiki", "leader_title", "leader_timestamp", "follower_wiki", "follower_title", "follower_timestamp", "follower_user", "lag_seconds"]
+
+
 def _unique(spark, d):
     return E.unique(table(spark, d, "edits"), ["seq"])
 
@@ -81,10 +84,11 @@ def statistics_as_arrived(spark, d):
 
 
 def run_digest(spark, d):
-    """A figure that must be the same whatever the cores and partitions."""
-    return G.records(_cells(spark, d)).agg(
-        F.count(F.lit(1)).alias("records"), F.sum(F.col("lag_seconds")).alias("lag_sum"), F.sum(F.col("leader_timestamp") % 1_000_003).alias("leader_sum")
-    )
+    """What must be the same whatever the cores and partitions: the number of records and the sum of their row hashes."""
+    found = G.records(_cells(spark, d))
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in DIGESTED])
+    number = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(20,0)")
+    return found.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
 
 
 def _event_lines(spark, d):
@@ -104,7 +108,12 @@ def event_accounting(spark, d):
 
 
 def edits_dedup(spark, d):
-    return _unique(spark, d).drop("stream_dt")
+    return _unique(spark, d)
+
+
+def edits_dedup_recent(spark, d):
+    """Repeats dropped by a memory of the last kept identifiers, as wide as the settings say."""
+    return E.unique_recent(table(spark, d, "edits")).select("event_id", "wiki", "title", "ts", "seq")
 
 
 def capture_filter(spark, d):
@@ -250,7 +259,7 @@ def review_agreement(spark, d):
 _NAMED = (
     propagation_records, propagation_windows, propagation_statistics, reached_rank, late_followups, lag_by_rank, lag_by_pair, edition_leadership,
     join_peaks, processing_order, out_of_order_count, peak_reorder_buffer, propagation_as_arrived, statistics_as_arrived, run_digest, edits_typed,
-    edits_drop_reasons, event_accounting, edits_dedup, capture_filter, hourly_buckets, archive_stats, minute_gaps, partition_union_ordered, resolve_left,
+    edits_drop_reasons, event_accounting, edits_dedup, edits_dedup_recent, capture_filter, hourly_buckets, archive_stats, minute_gaps, partition_union_ordered, resolve_left,
     resolve_unresolved, resolver_counters, edits_with_item, resolution_upsert, snapshot_size, page_universe, naive_pairs, item_pairs, pair_strata,
     pair_strata_sizes, pair_allocation, stratified_sample, page_urls, label_evaluation, evidence_lookup, evidence_of_lines, triage_category,
     triage_of_run, triage_counts, review_sample, review_summary, review_agreement,
@@ -294,9 +303,8 @@ t as (select *, case when tt = 'VARCHAR' then case when regexp_full_match(tx, '[
  case when bt = 'BOOLEAN' then (j->>'$.bot') = 'true' when bt = 'VARCHAR' then length(j->>'$.bot') > 0 when bt in ('UBIGINT', 'BIGINT', 'DOUBLE') then (j->>'$.bot')::double <> 0
  when bt in ('OBJECT', 'ARRAY') then (j->>'$.bot') not in ('{}', '[]') else false end as bot from x),
 y as (select *, case when json_type(j, '$.meta.id') is null or json_type(j, '$.wiki') is null or json_type(j, '$.title') is null or json_type(j, '$.type') is null or ts is null then 'malformed'
- when (j->>'$.wiki') is null or (j->>'$.wiki') not in (select unnest(['enwiki', 'dewiki', 'frwiki', 'eswiki', 'ptwiki', 'itwiki', 'nlwiki', 'plwiki', 'ruwiki', 'svwiki', 'trwiki', 'arwiki',
- 'fawiki', 'hiwiki', 'idwiki', 'jawiki', 'kowiki', 'zhwiki'])) then 'wiki'
- when coalesce(try_cast(j->>'$.namespace' as double), -1) <> 0 then 'namespace' when coalesce(j->>'$.type', 'None') not in ('edit', 'new') then 'type:' || coalesce(j->>'$.type', 'None') end as reason from t)"""
+ when (j->>'$.wiki') is null or (j->>'$.wiki') not in (select unnest(__EDITIONS__)) then 'wiki'
+ when coalesce(try_cast(j->>'$.namespace' as double), -1) <> 0 then 'namespace' when coalesce(j->>'$.type', 'None') not in ('edit', 'new') then 'type:' || coalesce(j->>'$.type', 'None') end as reason from t)""".replace("__EDITIONS__", str(list(config.EDITIONS)))
 _DT = "try_cast(j->>'$.meta.dt' as timestamptz) at time zone 'UTC'"
 _PAGES = """with p as (select wiki, title, arg_max(q, seq).q as qid from (select wiki, title, seq, {'q': qid} as q from edits where not bot) group by 1, 2),
 np as (select a.wiki as wiki_a, a.title as title_a, b.wiki as wiki_b, b.title as title_b from p a join p b on a.title = b.title and a.wiki < b.wiki),
@@ -369,14 +377,20 @@ select cast(max(x) as bigint) as peak_open_windows, cast(max(y) as bigint) as pe
     "out_of_order_count": f"{_CLOCK} select count(*) filter (ts < upto) as out_of_order, count(*) as edits from po",
     "peak_reorder_buffer": f"""{_CLOCK}, mv as (select seq as s, 1 as m from po union all select released + 1, -1 from po),
 c as (select sum(sum(m)) over (order by s) as held from mv group by s) select cast(max(held) as bigint) as peak_reorder_buffer from c""",
-    "run_digest": f"""{_FOLD} select count(*) as records, cast(sum(lag_seconds) as bigint) as lag_sum, cast(sum(leader_timestamp % 1000003) as bigint) as leader_sum from rec""",
+    "run_digest": f"""{_FOLD} select count(*) as records, cast(coalesce(sum(('0x' || md5(concat_ws('|', {", ".join(f"coalesce(cast({c} as varchar), '-')" for c in DIGESTED)}))[1:15])::bigint), 0) as varchar) as digest from rec""",
+    "edits_dedup_recent": f"""with recursive o as (select event_id, seq, row_number() over (order by seq) - 1 as b from edits where event_id is not null),
+r as (select *, row_number() over (order by seq) as k from o where event_id in (select event_id from o group by 1 having count(*) > 1)),
+s as (select cast(0 as bigint) as k, cast(0 as bigint) as gone, cast(null as bigint) as seq, false as again, cast(map([], []) as map(varchar, bigint)) as m
+ union all select x.k, x.gone + x.again::bigint, x.seq, x.again, case when x.again then x.m else map_concat(x.m, map([x.event_id], [x.n + 1])) end from
+ (select r.k, s.gone, r.seq, r.event_id, s.m, r.b - s.gone as n, coalesce(r.b - s.gone - s.m[r.event_id] < {config.DEFAULT.filters.dedupe_window}, false) as again from s join r on r.k = s.k + 1) x)
+select event_id, wiki, title, ts, seq from edits where seq not in (select seq from s where again)""",
     "edits_typed": f"""{_JSON} select file, line_no, j->>'$.meta.id' as event_id, j->>'$.wiki' as wiki, j->>'$.title' as title, ts, bot, j->>'$.type' as change_type,
 case when json_type(j, '$.user') is null then '' else j->>'$.user' end as user_name, try_cast(j->>'$.revision.new' as bigint) as revision from y where reason is null""",
     "edits_drop_reasons": f"{_JSON} select reason, count(*) as events from y where reason is not null group by 1",
     "event_accounting": f"""{_JSON}, kp as (select count(distinct j->>'$.meta.id') as d, count(*) as n, count(j->>'$.meta.id') as m from y where reason is null)
 select 'undecodable' as outcome, count(*) as events from j where j is null union all select reason, count(*) from y where reason is not null group by 1
 union all select 'kept', d + n - m from kp union all select 'duplicate', m - d from kp""",
-    "edits_dedup": f"with {_U} select * exclude (stream_dt) from u",
+    "edits_dedup": f"with {_U} select * from u",
     "capture_filter": f"""{_JSON} select file, line_no, strftime({_DT}, '%Y-%m-%d-%H') as hour from y where coalesce(try_cast(j->>'$.namespace' as double), -1) = 0
 and (j->>'$.wiki') in (select distinct wiki from edits)""",
     "hourly_buckets": f"""{_JSON} select strftime({_DT}, '%Y-%m-%d-%H') as hour, count(*) as events from y where coalesce(try_cast(j->>'$.namespace' as double), -1) = 0

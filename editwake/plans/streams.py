@@ -134,8 +134,19 @@ def retry_bisect(spark, d):
     return look_up(R.unresolved(table(spark, d, "edits"), table(spark, d, "resolutions")), RuleClient)
 
 
+def resolve_online(spark, d):
+    """Edits resolved by the snapshot and, where it doesn't know the page, by the stand-in service; the snapshot keeps the answers."""
+    edits = table(spark, d, "edits").select("seq", "wiki", "title")
+    return R.online(edits, table(spark, d, "resolutions"), RuleClient)[0]
+
+
+def snapshot_after_online(spark, d):
+    return R.online(table(spark, d, "edits").select("seq", "wiki", "title"), table(spark, d, "resolutions"), RuleClient)[1]
+
+
 QUERIES = {f.__name__: f for f in (
     streaming_late_counts, streaming_late_rows, streaming_propagation, streaming_archive, gzip_salvage, sse_frames, api_response_match, retry_bisect,
+    resolve_online, snapshot_after_online,
 )}
 
 
@@ -153,6 +164,10 @@ select file, count(*) as lines, count(*) filter (late) as damaged, cast(sum(leng
         "sse_frames": """select file, cast(last_value(case when line_no % 3 = 0 then line_no end ignore nulls) over (partition by file order by line_no) as varchar) as id,
 'message' as event, text as data from raw_lines where file like '%.jsonl.gz'""",
         "api_response_match": "select wiki as site, title, qid from resolutions",
+        "resolve_online": """select e.seq, e.wiki, e.title, case when r.wiki is not null then r.qid when length(e.title) % 17 <> 0 then 'Q' || length(e.title) end as qid, true as found
+from edits e left join resolutions r on e.wiki = r.wiki and e.title = r.title""",
+        "snapshot_after_online": """select wiki, title, qid from resolutions union all select wiki, title, case when length(title) % 17 <> 0 then 'Q' || length(title) end from (select distinct wiki, title
+from edits e where not exists (select 1 from resolutions r where r.wiki = e.wiki and r.title = e.title))""",
         "retry_bisect": """select wiki, title, case when length(title) % 17 <> 0 then 'Q' || length(title) end as qid from (select distinct wiki, title from edits e
 where not exists (select 1 from resolutions r where r.wiki = e.wiki and r.title = e.title))""",
     }

@@ -56,8 +56,9 @@ class HttpClient:
         self.url, self.agent, self.timeout, self.maxlag = url, agent, timeout, maxlag
 
     def lookup(self, site: str, titles: Sequence[str]) -> dict[str, str | None]:
+        # The form of the public protocol.
         form = {
-            "action": "wbgetentities", "format": "json", "sites": site, "titles": "|".join(titles), "props": "sitelinks", "sitefilter": site, "maxlag": str(self.maxlag),
+            "action": "wbgetentities", "format": "json", "formatversion": "2", "sites": site, "titles": "|".join(titles), "props": "sitelinks", "sitefilter": site, "maxlag": str(self.maxlag),
         }
         ask = urllib.request.Request(self.url, urllib.parse.urlencode(form).encode(), {"User-Agent": self.agent})
         try:
@@ -111,21 +112,27 @@ class Lookups:
             out |= got
         return out
 
-    def _ask(self, site: str, batch: list[str]) -> dict[str, str | None]:
+    def _waits(self):
+        """How long to wait after each failed try: twice as long each time; ends with the last try."""
         wait = self.settings.backoff_first
-        for attempt in range(self.settings.max_retries + 1):
+        for _ in range(self.settings.max_retries):
+            yield min(wait, self.settings.backoff_most)
+            wait *= 2
+
+    def _ask(self, site: str, batch: list[str]) -> dict[str, str | None]:
+        waits = self._waits()
+        while True:
             try:
                 got = self.client.lookup(site, batch)
             except TryAgain as e:
-                if attempt == self.settings.max_retries:
+                wait = next(waits, None)
+                if wait is None:
                     return {}
                 self.retries += 1
-                self.sleep(min(e.after if e.after is not None else wait, self.settings.backoff_most))
-                wait = min(wait * 2, self.settings.backoff_most)
+                self.sleep(wait if e.after is None else min(e.after, self.settings.backoff_most))
             else:
                 self.requests += 1
                 return got
-        return {}
 
 
 def look_up(pages: DataFrame, make_client: Callable[[], Client], settings: Resolution = DEFAULT.resolution, tasks: int = 4) -> DataFrame:

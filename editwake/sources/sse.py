@@ -103,15 +103,21 @@ class _Reader(SimpleDataSourceStreamReader):
             begin = len(ids) - 1 - ids[::-1].index(start["id"]) + 1 if start["id"] in ids else 0
             got = all_frames[begin : begin + int(o.get("most", 1_000))]
         else:
-            got = received(o["url"], start["id"], int(o.get("most", 1_000)), float(o.get("seconds", 10)), timeout=float(o.get("timeout", 60)))
+            got = received(o["url"], start["id"], int(o.get("most", 1_000)), float(o.get("seconds", 10)), float(o.get("first_wait", 1)), float(o.get("most_wait", 60)), timeout=float(o.get("timeout", 60)))
         return iter(got), {"id": got[-1][0] if got else start["id"]}
 
     def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        """A batch again after a failure: the feed is asked once more from the start id, up to the end id."""
-        for frame in self.read(start)[0]:
-            yield frame
-            if frame[0] == end["id"]:
-                return
+        """A batch again after a failure: the feed is asked from the start id on, as often as it takes to reach the end id."""
+        at = start
+        while at["id"] != end["id"]:
+            got, after = self.read(at)
+            for frame in got:
+                yield frame
+                if frame[0] == end["id"]:
+                    return
+            if after["id"] == at["id"] and self.options.get("file"):
+                raise ValueError(f"the feed ends before {end['id']}")
+            at = after
 
 
 class EventFeed(DataSource):

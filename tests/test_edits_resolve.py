@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from editwake.operators import edits as E
 from editwake.operators import resolve as R
 
@@ -110,3 +111,34 @@ def test_counters_equal_a_cache_kept_by_hand(spark):
     row = R.counters(edits, pages(spark, *[(*k, q) for k, q in snap.items()]), block=25).first().asDict()
     assert {k: row[k] for k in want} == want
     assert R.counters(edits.limit(0), pages(spark, ("a", "b", "c"))).first().cache_hit_rate == 0.0
+
+
+def recent(ids, capacity):
+    held, kept = [], []
+    for i, x in enumerate(ids):
+        if x in held:
+            continue
+        held.append(x)
+        if len(held) > capacity:
+            held.pop(0)
+        kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("ids,capacity", [("abcac", 2), ("aaaa", 1), ("abababab", 1), ("abcabcabcabc", 2), ("abc" * 20 + "xa" * 9 + "cb" * 11, 3)])
+def test_bounded_memory_of_identifiers(spark, ids, capacity):
+    df = spark.createDataFrame([(x, i, "own") for i, x in enumerate(ids)] + [(None, 900, "n"), ("a", None, "n")], "event_id string, seq bigint, gone string")
+    got = sorted(r.seq for r in E.unique_recent(df, "seq", capacity).where("gone = 'own'").collect())
+    assert got == recent(ids, capacity)
+    assert E.unique_recent(df, "seq", capacity).where("gone = 'n'").count() == 2
+    assert E.unique_recent(df.limit(0), "seq", capacity).count() == 0
+
+
+def test_bounded_memory_at_random(spark):
+    import random
+
+    rng = random.Random(8)
+    for capacity in (3, 12):
+        ids = [f"i{rng.randrange(30)}" for _ in range(400)]
+        df = spark.createDataFrame(list(zip(ids, range(400), strict=True)), "event_id string, seq bigint").repartition(3)
+        assert sorted(r.seq for r in E.unique_recent(df, "seq", capacity).collect()) == recent(ids, capacity)

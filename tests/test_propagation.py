@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from editwake.config import Propagation
+from editwake.operators import progress
 from editwake.operators import propagation as G
 from pyspark.sql import functions as F
 from simulator import simulate
@@ -180,12 +181,12 @@ def test_clock_bitmap_equals_a_search(spark):
     rng = np.random.default_rng(2)
     times = np.unique(np.r_[rng.integers(1_609_400_000, 1_609_600_000, 300), 1_609_459_200, 1_609_459_207])
     df = spark.createDataFrame([(int(t),) for t in times], "upto bigint")
-    clock = G.clock_of(df)
+    clock = progress.clock_of(df)
     bounds = np.r_[rng.integers(1_609_300_000, 1_609_700_000, 5_000), times, times + 1, times - 1]
     got, none = clock.at_or_after(bounds)
     k = np.searchsorted(times, bounds)
     assert (none == (k == len(times))).all() and (got[~none] == times[k[~none]]).all()
-    assert G.clock_of(df.limit(0)) is None
+    assert progress.clock_of(df.limit(0)) is None
 
 
 def test_long_spans_and_hot_items(spark, monkeypatch):
@@ -194,7 +195,7 @@ def test_long_spans_and_hot_items(spark, monkeypatch):
     data = [("Q1" if rng.random() < 0.5 else f"Q{rng.integers(2, 9)}", f"{'abcd'[rng.integers(4)]}wiki", "T", int(t), False, "u", i) for i, t in enumerate(np.sort(rng.integers(0, 3_000_000, 900)))]
     edits = spark.createDataFrame(data, "qid string, wiki string, title string, ts bigint, bot boolean, user_name string, seq bigint")
     want = sorted(map(tuple, G.records(G.propagation_cells(edits)).collect()))
-    monkeypatch.setattr(G, "_LONGEST", 10)
+    monkeypatch.setattr(progress, "LONGEST", 10)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         assert sorted(map(tuple, G.records(G.propagation_cells(edits)).collect())) == want and len(want) > 50

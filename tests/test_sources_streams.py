@@ -213,9 +213,9 @@ def test_settings(tmp_path, monkeypatch):
 
 
 def test_texts():
-    assert [X.duration(s) for s in (None, 45, 89, 90, 685, 5_399, 5_400, 21_600, -120)] == ["_pending_", "45s", "89s", "1m 30s", "11m 25s", "89m 59s", "1h 30m", "6h 00m", "-2m 00s"]
+    assert [X.duration(s) for s in (None, 45, 89, 90, 685, 5_399, 5_400, 21_600, -120)] == ["-", "45s", "89s", "1m 30s", "11m 25s", "89m 59s", "1h 30m", "6h 00m", "-2m 00s"]
     assert [X.ordinal(n) for n in (1, 2, 3, 4, 11, 22, 113)] == ["1st", "2nd", "3rd", "4th", "11th", "22nd", "113th"]
-    assert (X.number(12345), X.number(None), X.percent(0.1234), X.counted(1, "gap"), X.counted(2, "gap")) == ("12,345", "_pending_", "12.3 %", "1 gap", "2 gaps")
+    assert (X.number(12345), X.number(None), X.percent(0.1234), X.counted(1, "gap"), X.counted(2, "gap")) == ("12,345", "-", "12.3%", "1 gap", "2 gaps")
     assert X.table(["a"], [["x|y"]]).endswith("| x\\|y |") and X.table(["a"], []) == "_pending_"
 
 
