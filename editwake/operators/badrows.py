@@ -304,7 +304,7 @@ def parsed(lines: DataFrame, file: str = "file", line_no: str = "line_no", text:
 
     session.ship(lines.sparkSession)
     chosen = lines.select(F.col(file).alias("file"), F.col(line_no).cast("bigint").alias("line_no"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, f"file string, line_no bigint, reason string, event struct<{_colons(EVENT)}>, record struct<{_colons(RECORD)}>")
+    return session.widened(chosen).mapInArrow(run, f"file string, line_no bigint, reason string, event struct<{_colons(EVENT)}>, record struct<{_colons(RECORD)}>")
 
 
 def _colons(ddl: str) -> str:

@@ -25,7 +25,7 @@ def decoded(lines: DataFrame, text: str = "text") -> DataFrame:
     line = F.col(text)
     marked = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit(f', "{_END}"]')))
     mended = F.when(line.rlike("NaN|Infinity"), marked(F.regexp_replace(line, _BARE, "$1null")))
-    once = lines.withColumn("_ew_both", F.explode(F.array(F.coalesce(marked(line), mended))))
+    once = session.widened(lines).withColumn("_ew_both", F.explode(F.array(F.coalesce(marked(line), mended))))
     alone = F.try_variant_get("_ew_both", "$[1]", "string") == _END
     value = F.when(F.coalesce(alone, F.lit(False)), F.try_variant_get("_ew_both", "$[0]", "variant"))
     return once.withColumn("v", F.explode(F.array(value))).drop("_ew_both")

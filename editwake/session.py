@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark reads as one split unless told otherwise.
+SPLIT_BYTES = 128 << 20
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -157,6 +159,19 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores and smaller than one split, spread over the cores; any other as it is.
+
+    Such a table would be one task, which matters where each row costs much (parsing, patterns, tokens). Only files and
+    the optimizer's estimate are looked at, so nothing is run and a table of any size beyond stays unshuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPLIT_BYTES and len(df.inputFiles()) < cores else df
+
+
 @atexit.register
 def _sweep() -> None:
     for path, spark in list(_made.items()):
