@@ -419,7 +419,7 @@ def judged(
         F.col(item).alias("_ew_item"), F.col(text).alias("_ew_text"), F.xxhash64(host, text).alias("_ew_hash"), place.alias("_ew_place"), *[F.col(n).cast("string").alias(f"_ew_n{i}") for i, n in enumerate(names)]
     )
     kind = docs.schema[item].dataType.simpleString()
-    seen = chosen.mapInArrow(run, f"_ew_item {kind}, kinds array<string>, low_information boolean, _ew_hash bigint, _ew_place struct<host:string,page:string>, suspects array<string>")
+    seen = session.widened(chosen).mapInArrow(run, f"_ew_item {kind}, kinds array<string>, low_information boolean, _ew_hash bigint, _ew_place struct<host:string,page:string>, suspects array<string>")
     seen = session.stage(seen, "leftovers")
     often = seen.where("low_information").groupBy("_ew_hash").agg(F.count(F.lit(1)).alias("_ew_copies")).where(F.col("_ew_copies") >= 2).select("_ew_hash")
     by_copies = seen.where("low_information").join(often, "_ew_hash", "left_semi").select("_ew_item", F.lit("low-information copies").alias("_ew_kind"))

@@ -44,4 +44,4 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", vocabula
     session.ship(df.sparkSession)
     chosen = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_ew_text"))
     schema = chosen.drop("_ew_text").schema.add(out, T.LongType())
-    return chosen.mapInArrow(run, schema)
+    return session.widened(chosen).mapInArrow(run, schema)
