@@ -107,11 +107,11 @@ def used_rows(docs: DataFrame, targets: DataFrame, item: str = "doc_id", size: s
 
 
 def budgets(rows: DataFrame, targets: DataFrame, size: str = "tokens", total: int | None = None, exact: bool = True) -> dict[str, dict]:
-    """plan() for the rows there are, with each source's tokens and documents."""
+    """plan() for the rows there are, with each source's tokens, documents and largest document."""
     wanted = _wanted(targets)
-    counted = {r[0]: (r[1], r[2]) for r in rows.groupBy("source").agg(F.sum(size), F.count(F.lit(1))).collect()}  # a row per listed source
-    made = plan({s: n for s, (n, _) in counted.items()}, {s: t for s, (t, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, total, exact)
-    return {s: x | dict(zip(("tokens", "docs"), counted.get(s, (0, 0)), strict=True)) for s, x in made.items()}
+    counted = {r[0]: tuple(r[1:]) for r in rows.groupBy("source").agg(F.sum(size), F.count(F.lit(1)), F.max(size)).collect()}  # a row per listed source
+    made = plan({s: x[0] for s, x in counted.items()}, {s: t for s, (t, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, total, exact)
+    return {s: x | dict(zip(("tokens", "docs", "largest"), counted.get(s, (0, 0, 0)), strict=True)) for s, x in made.items()}
 
 
 def mix(rows: DataFrame, budget: dict[str, dict], item: str = "doc_id", size: str = "tokens", seed: int = SEED) -> DataFrame:
@@ -157,11 +157,11 @@ def shares(mixture: DataFrame, targets: DataFrame, budget: dict[str, dict], item
     """Per listed source: target share, the share that the exponent alone gives, budget and tokens and share reached, uses,
     most uses of a document and its limit, and whether the budget was met to less than a document and the limit kept."""
     spark = mixture.sparkSession
-    listed = [(s, t, float(budget[s]["tempered"]), float(budget[s]["exponent"] or 0.0), int(budget[s]["budget"]), r) for s, (t, r) in _wanted(targets).items()]
-    named = spark.createDataFrame(listed, "source string, target_share double, tempered_share double, exponent double, budget_tokens bigint, max_repeats int")
+    listed = [(s, t, float(budget[s]["tempered"]), float(budget[s]["exponent"] or 0.0), int(budget[s]["budget"]), int(budget[s]["largest"]), r) for s, (t, r) in _wanted(targets).items()]
+    named = spark.createDataFrame(listed, "source string, target_share double, tempered_share double, exponent double, budget_tokens bigint, _ew_largest bigint, max_repeats int")
     each = mixture.groupBy("source", F.col(item), F.col(size)).agg(F.max("use").alias("_ew_last"), F.count(F.lit(1)).alias("_ew_n"))
     per = each.groupBy("source").agg(
-        F.sum(F.col(size) * F.col("_ew_n")).alias("reached_tokens"), F.sum("_ew_n").alias("uses"), F.max("_ew_last").alias("most_uses"), F.max(size).alias("_ew_largest")
+        F.sum(F.col(size) * F.col("_ew_n")).alias("reached_tokens"), F.sum("_ew_n").alias("uses"), F.max("_ew_last").alias("most_uses")
     )
     per = per.crossJoin(F.broadcast(per.agg(F.sum("reached_tokens").alias("all_tokens"))))  # one row
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -13,6 +13,8 @@ from editwake import session
 
 FLUSH = 200_000
 BROADCAST_ROWS = 100_000
+#: Rows of a value that a node must have, on average over the nodes, for the value to be sent in the second phase.
+LEAST_SHARE = 4
 
 
 def local_counts(df: DataFrame, column: str, leaders: int) -> DataFrame:
@@ -53,7 +55,8 @@ def frequent(df: DataFrame, column: str, k: int = 100, at_least: int = 0) -> Dat
     """The k most frequent values (ties with the k-th included) and, if at_least is given, only those with that many rows.
 
     1. Each node sends its k leaders; the k-th largest sum of what was sent is a lower bound of the k-th true count.
-    2. A value that reaches the bound has at least bound / nodes rows on some node: each node sends those.
+    2. A value that reaches the bound has at least bound / nodes rows on some node: each node sends those. Where that
+       share would be under LEAST_SHARE, nodes are merged first, so that it isn't.
     3. The counts of the values sent are looked up on all nodes and added up exactly.
     With at_least the bound is the larger of the two, so fewer values are sent. Values that are NULL don't count. An
     empty table gives no row. Returns (value STRING, n BIGINT).
@@ -65,6 +68,11 @@ def frequent(df: DataFrame, column: str, k: int = 100, at_least: int = 0) -> Dat
     leaders = nodes.where("leader").groupBy("value").agg(F.sum("n").alias("n"))
     kth = leaders.orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
     bound = max(kth[0] if kth[1] == k else 1, at_least, 1)
+    if count > 1 and bound < LEAST_SHARE * count:
+        # So many nodes that a node's share would fall to nearly nothing: they are merged into fewer, each value summed.
+        count = max(1, bound // LEAST_SHARE)
+        merged = F.pmod(F.xxhash64("node"), F.lit(count)).cast("int")
+        nodes = session.stage(nodes.groupBy("value", merged.alias("node")).agg(F.sum("n").alias("n")), "nodes-merged")
     share = max(1, -(-bound // max(1, count)))
     sent = session.stage(nodes.where(F.col("n") >= share).select("value").distinct(), "sent")
     small = sent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
