@@ -1,14 +1,16 @@
-"""The command line: archive, stats, resolve, join, pairs, failures, report."""
+"""The command line: archive, stats, resolve, join, profile, bench, pairs, failures, report."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import logging
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from editwake import config, logs, report, session, sinks
+from editwake import benchmark, config, logs, report, session, sinks
 from editwake.operators import edits as E
 from editwake.operators import pairs as P
 from editwake.operators import propagation as G
@@ -38,8 +40,12 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("resolve")
     r.add_argument("--url", help="lookup service for pages the snapshot doesn't know; without it nothing is asked")
     r.add_argument("--agent", default="editwake")
-    for name in ("stats", "join", "profile"):
-        sub.add_parser(name)
+    for name in ("stats", "join", "profile", "bench"):
+        q = sub.add_parser(name)
+        if name in ("profile", "bench"):
+            q.add_argument("--label", default="after", choices=["before", "after"], help="which of the two results it is")
+    q.add_argument("--stage", choices=benchmark.STAGES, help="this stage alone, printed and not written")
+    q.add_argument("--workers", type=int, default=1)
     for name, last in (("pairs", "evaluate"), ("failures", "summarise")):
         q = sub.add_parser(name)
         q.add_argument("step", choices=["sample", last])
@@ -123,8 +129,20 @@ class Run:
         lists = {"lag_by_rank": G.lag_by_rank(found), "lag_by_pair": G.lag_by_pair(found, p), "editions": G.leadership(cells, p), "reached_rank": G.reached_rank(windows, p)}
         self.save("propagation", statistics=sinks.as_document(G.statistics(windows)), **{k: [r.asDict() for r in v.collect()] for k, v in lists.items()})
 
+    def _replayed(self):
+        return G.records(G.propagation_cells(self.edits(), self.config.propagation))
+
     def profile(self) -> None:
-        print(G.records(G.propagation_cells(self.edits(), self.config.propagation))._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        self.save(f"profile_{self.args.label}", **benchmark.profiled(self.spark, lambda: benchmark.digest(self._replayed())))
+
+    def bench(self) -> None:
+        if self.args.stage:
+            spark = self._spark = self._spark or session.make_session("bench", self.args.workers)
+            run = self._replayed if self.args.stage == "full" else lambda: E.kept(self.lines(), self.config.filters)
+            print(json.dumps(benchmark.measured(spark, run, self.lines().count())))
+            return
+        given = [f"--{k}={v}" for k in ("config", "archive", "pattern", "snapshot") if (v := getattr(self.args, k))]
+        self.save(f"bench_{self.args.label}", **benchmark.scaled([sys.executable, "-m", "editwake", *given]))
 
     def pairs(self) -> None:
         sheet = f"{self.args.labels}/pairs.csv"

@@ -2,7 +2,7 @@ import gzip
 import json
 
 import pytest
-from editwake import config, logs, report, session, sinks
+from editwake import benchmark, config, logs, report, session, sinks
 from editwake.__main__ import main
 from editwake.functions import text as X
 from editwake.operators import late
@@ -235,6 +235,30 @@ def test_report_spliced_between_marks(tmp_path):
         report.performance_section({"runs": []}, runs)
 
 
+def test_runs_are_measured_and_profiled(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 1.5)], "x int, y string, z double")
+    got = benchmark.measured(spark, lambda: df, 100, repeats=1)
+    assert got["rows"] == 2 and got["events_per_second"] > 0 and got["digest"] == benchmark.digest(df.repartition(3))[1]
+    assert benchmark.digest(df)[1] != benchmark.digest(df.withColumn("y", df.x.cast("string")))[1] and benchmark.digest(df.limit(0)) == (0, "0")
+    seen = iter((df, df.limit(1)))
+    with pytest.raises(RuntimeError):
+        benchmark.measured(spark, lambda: next(seen), 100, repeats=1)
+    told = benchmark.profiled(spark, lambda: df.groupBy("y").count().collect())
+    assert told["stages"] >= 1 and abs(sum(s["own_share"] for s in told["top"]) - 1) < 0.01
+
+
+def test_scaling_runs_are_compared(monkeypatch):
+    from types import SimpleNamespace
+
+    made = iter([("full", 8.0, "d"), ("full", 4.0, "d"), ("full", 4.0, "d"), ("full", 3.0, "e")])
+    fake = lambda *a, **k: SimpleNamespace(stdout="x\n" + json.dumps(dict(zip(("stage", "seconds", "digest"), next(made), strict=True))) + "\n")
+    monkeypatch.setattr(benchmark.subprocess, "run", fake)
+    runs = benchmark.scaled(["x"], ("full",), (1, 2))["runs"]
+    assert [(r["speed_up"], r["efficiency"]) for r in runs] == [(1.0, 1.0), (2.0, 1.0)]
+    with pytest.raises(RuntimeError):
+        benchmark.scaled(["x"], ("full",), (1, 2))
+
+
 def test_log_lines_are_json(capsys):
     import logging
 
