@@ -436,6 +436,11 @@ select labelled, unlabelled, {", ".join(f"labelled_{s}, true_{s}, round_even(e_{
  for n, s in (("naive", "naive_only"), ("wikidata", "wikidata_only")))},
  round_even(e_wikidata_only, 1) as missed_by_naive, round_even(e_wikidata_only / nullif(pooled, 0), 4) as share_missed_by_naive from z""",
     "evidence_lookup": f"""with {_EV} select qid, rank, leader_timestamp, follower_timestamp, lu as leader_user, lb as leader_bytes, coalesce(fu, follower_user) as follower_user, fb as follower_bytes from jr""",
+    "evidence_of_lines": f"""{_JSON}, e as (select file, line_no, j->>'$.wiki' as wiki, j->>'$.title' as title, ts, coalesce(j->>'$.user', '') as user_name,
+coalesce(j->>'$.comment', '') as edit_comment, try_cast(j->>'$.length.old' as bigint) as a, try_cast(j->>'$.length.new' as bigint) as b, bot,
+epoch_us(try_cast(j->>'$.meta.dt' as timestamptz)) / 1e6::double - ts as stream_skew_seconds from t where json_type(j, '$.wiki') is not null and json_type(j, '$.title') is not null and ts is not null)
+select wiki, title, ts, user_name, edit_comment, case when b is not null then case when coalesce(a, 0) <> 0 then b - a else b end end as bytes_changed, bot, stream_skew_seconds
+from (select *, row_number() over (partition by wiki, title, ts order by file, line_no) as k from e) where k = 1""",
     "triage_category": f"with {_EV}, {_SUGGEST} select qid, rank, leader_timestamp, follower_timestamp, suggested_category, evidence from tr",
     "triage_of_run": f"""{_FOLD}, {_EV.replace('propagation_records', 'rec')}, {_SUGGEST} select qid, rank, leader_timestamp, follower_timestamp, suggested_category, evidence from tr""",
     "triage_counts": f"with {_EV}, {_SUGGEST} select suggested_category, count(*) as records from tr group by 1",
